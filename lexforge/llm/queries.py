@@ -6,11 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import node_key, strip
-from lexforge.llm import groups, repeated
+from lexforge.llm import groups, neighbours, repeated, survivors
 from lexforge.llm.sql import SQL
 from lexforge.session import table
 
 
+def node_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.survivors(table(spark, d, "nodes").withColumn("id", node_key(F.col("id"))))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The best record of every concept that at least two node ids record."""
+    return node_survivors(spark, d).where("n_ids > 1").select("first_id", "best_id")
+
+
+def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """One record per concept, field by field."""
+    return node_survivors(spark, d)
+
+
 def book_texts(spark: SparkSession, d: str, pdf: bool) -> DataFrame:
     """source, doc_no and text of chapters of books whose filename ends in pdf, or of the others."""
     books = table(spark, d, "textbooks").groupBy("textbook_id").agg(F.max(F.lower("filename")).alias("name"))
@@ -46,6 +60,26 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.hash_to_min(merge_links(spark, d))
 
 
+#: Components of a usable embedding.
+DIM = 64
+
+
+def node_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nodes").select(node_key(F.col("id")).alias("id"), "embedding", "ord")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of nodes with a cosine of at least 0.90."""
+    pairs = neighbours.search(node_vectors(spark, d), DIM, least=0.90, probes=4)
+    return pairs.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar nodes of every node whose ord is divisible by 20."""
+    near = neighbours.search(node_vectors(spark, d), DIM, k=10, probes=96, asks="ord % 20 = 0")
+    return near.select("id", "other", F.round("cosine", 4).alias("cosine"))
+
+
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_cleaned, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_cleaned, p5_found, p7_found, p7_neighbours)}
