@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import node_key, strip
-from lexforge.llm import groups, neighbours, repeated, survivors
+from lexforge.llm import groups, neighbours, quality, repeated, survivors
 from lexforge.llm.sql import SQL
 from lexforge.session import table
 
@@ -80,6 +80,16 @@ def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select("id", "other", F.round("cosine", 4).alias("cosine"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that aren't prose."""
+    return quality.describe(table(spark, d, "documents")).where("text_type <> 'prose'").select("doc_id").distinct()
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics and text type of every document."""
+    return quality.describe(table(spark, d, "documents"))
+
+
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_cleaned, p5_found, p7_found, p7_neighbours)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_cleaned, p5_found, p7_found, p7_neighbours, p10_found, p10_statistics)}
