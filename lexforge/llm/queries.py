@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import node_key, strip
-from lexforge.llm import groups, neighbours, quality, repeated, survivors
+from lexforge.llm import groups, neighbours, quality, repeated, scans, survivors
 from lexforge.llm.sql import SQL
 from lexforge.session import table
 
@@ -49,6 +49,22 @@ def p2_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeated.without_lines(texts, keys).select(F.col("source").alias("textbook_id"), F.col("doc_no").alias("ord"), F.col("text").alias("content"))
 
 
+def scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Chapters of books whose filename ends in pdf, and the books."""
+    books = table(spark, d, "textbooks").where(F.lower("filename").endswith("pdf"))
+    return table(spark, d, "chapters").join(books.select("textbook_id").distinct(), "textbook_id", "left_semi"), books
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of scanned chapters that are furniture, end in a cut word, or hold a misread character."""
+    return scans.describe_lines(*scanned(spark, d))
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned chapters in continuous paragraphs."""
+    return scans.restore(*scanned(spark, d)).select("textbook_id", "ord", F.col("text").alias("content"))
+
+
 def merge_links(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "decisions").where(F.lower(strip(F.col("action"))) == "merge")
     ids = F.transform(F.concat(F.coalesce("affected_nodes", F.array().cast("array<string>")), F.array("result_node")), node_key)
@@ -92,4 +108,4 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_cleaned, p5_found, p7_found, p7_neighbours, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_cleaned, p4_found, p4_restored, p5_found, p7_found, p7_neighbours, p10_found, p10_statistics)}
