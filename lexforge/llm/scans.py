@@ -27,9 +27,11 @@ WORD_SHARE, WORD_LEAST = 5e-6, 3
 #: Buckets of the table of character pairs.
 BUCKETS = 1 << 20
 #: How many times more frequent the right reading must be.
-WORD_ODDS, PAIR_ODDS = 8, 20
+WORD_ODDS, PAIR_ODDS = 8, 10
 #: Repetitions that make a line at page edges a notice, and the share of them at edges.
 NOTICE_LEAST, NOTICE_EDGE = 3, 0.8
+#: How far Roman page numbers may run ahead of the pages.
+ROMAN_AHEAD = 2
 #: Signs at a cut word's end.
 CUTS = "-‐‑–­¬"
 #: Letters and what scanners take them for.
@@ -74,13 +76,14 @@ def page_number(line: str, first: int, last: int) -> bool:
     if not s or len(s) > 16:
         return False
     m = _PAGE.match(s)
-    if m and (any(c.isdigit() for c in m["n"]) or s != m["n"]):
+    if m and (any(c.isdigit() for c in m["n"]) or s != m["n"] or (len(s) > 1 and set(s) <= set("lio"))):
         n = int(m["n"].translate(_DIGITS))
         if first <= n <= last:
             return True
     bare = s.strip("-—–·•[]|~.*")
     n = _roman(bare)
-    return n is not None and first <= n <= last
+    # front matter may be counted from the cover
+    return n is not None and first <= n <= last + ROMAN_AHEAD
 
 
 def alike(a: str, b: str, share: float = 0.8) -> bool:
@@ -147,7 +150,8 @@ def furniture(c: Chapter, notices: set[str]) -> list[bool]:
             out.append(bool(re.search(r"\d\s*$", s) and _ends_in_page(s, c)))
             started = True
             continue
-        gone = key in notices or any(alike(key, h) for h in c.heads)
+        plain = re.sub("[a-z]", "", key)
+        gone = key in notices or any(alike(key, h) or plain != key and not re.search("[a-z]", h) and alike(plain, h) for h in c.heads)
         out.append(gone)
         started |= not gone
     return out
