@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import node_key, strip
-from lexforge.llm import groups, neighbours, quality, repeated, scans, survivors
+from lexforge.llm import groups, mixing, neighbours, packing, quality, repeated, scans, survivors, tokens
 from lexforge.llm.sql import SQL
-from lexforge.session import table
+from lexforge.session import cut, table
 
 
 def node_survivors(spark: SparkSession, d: str) -> DataFrame:
@@ -96,6 +96,39 @@ def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select("id", "other", F.round("cosine", 4).alias("cosine"))
 
 
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    """All documents packed into containers of every kind."""
+    sizes = cut(tokens.count_tokens(table(spark, d, "documents")))
+    kinds = sorted((r.container_kind, r.capacity_tokens) for r in table(spark, d, "containers").collect())
+    parts = [packing.pack(sizes, capacity).select(F.lit(kind).alias("container_kind"), "*") for kind, capacity in kinds]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of every kind are."""
+    caps = table(spark, d, "containers")
+    per = p8_packing(spark, d).groupBy("container_kind").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    return per.join(F.broadcast(caps), "container_kind").select("container_kind", "containers", "tokens", F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("unused_share"))
+
+
+def drawn_documents(spark: SparkSession, d: str) -> DataFrame:
+    sizes = tokens.count_tokens(table(spark, d, "documents"), keep=("source",))
+    return mixing.mix(sizes, table(spark, d, "source_targets"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of every document that each mix draws."""
+    return drawn_documents(spark, d)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that each mix reaches."""
+    return mixing.shares(drawn_documents(spark, d), table(spark, d, "source_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that aren't prose."""
     return quality.describe(table(spark, d, "documents")).where("text_type <> 'prose'").select("doc_id").distinct()
@@ -108,4 +141,4 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_cleaned, p4_found, p4_restored, p5_found, p7_found, p7_neighbours, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_cleaned, p4_found, p4_restored, p5_found, p7_found, p7_neighbours, p8_packing, p8_report, p9_mixture, p9_shares, p10_found, p10_statistics)}
