@@ -44,3 +44,77 @@ def fold_width(col: Column) -> Column:
 def wording(col: Column) -> Column:
     """Only the letters of a line, in lower case and usual width."""
     return F.regexp_replace(F.lower(fold_width(col)), r"[^\p{L}]", "")
+
+
+def visible_length(col: Column) -> Column:
+    """Characters but spaces and line ends."""
+    return F.length(F.translate(col, "\n ", ""))
+
+
+def book_title(filename: Column) -> Column:
+    """A filename without its suffix and a number of two or three digits before it."""
+    return F.regexp_replace(F.regexp_replace(filename, r"\.[^.]*$", ""), r"^\d{2,3}[_\-]", "")
+
+
+def book_id(filename: Column) -> Column:
+    return F.concat(F.lit("book_"), F.substring(F.md5(filename.cast("binary")), 1, 8))
+
+
+#: Chinese digits, and the largest number that headings spell out.
+_CN, _CN_MOST = "一二三四五六七八九", 60
+
+
+def cn_numbers() -> dict[str, int]:
+    """Spelled numbers from 1 to 60."""
+    out = {}
+    for n in range(1, _CN_MOST + 1):
+        tens, ones = divmod(n, 10)
+        out[("" if tens == 0 else "十" if tens == 1 else _CN[tens - 1] + "十") + (_CN[ones - 1] if ones else "")] = n
+    return out
+
+
+_CHAPTER = r"^第\s*([零一二三四五六七八九十百\d]+)\s*章"
+
+
+def chapter_number(text: Column) -> Column:
+    """The number of a chapter heading at the start of a text: 0 if it can't be read, null if there is no heading."""
+    plain = strip(text)
+    spelled, arabic = F.regexp_extract(plain, _CHAPTER, 1), F.regexp_extract(plain, r"(?i)^Chapter\s+(\d+)", 1)
+    table = F.create_map(*[F.lit(x) for pair in cn_numbers().items() for x in pair])
+    return F.when(spelled != "", F.coalesce(F.try_element_at(table, spelled), spelled.try_cast("int"), F.lit(0))).when(arabic != "", F.coalesce(arabic.try_cast("int"), F.lit(0)))
+
+
+def is_footer(text: Column) -> Column:
+    """Short lines that are digits only, a page mark, a rights notice, or blank."""
+    plain = strip(text)
+    return (F.length(plain) < 30) & (plain.rlike(r"^\d+$") | plain.rlike(r"^第\s*\d+\s*页") | plain.rlike("^版权所有") | (plain == ""))
+
+
+def page_mark(text: Column) -> Column:
+    """The page of the first [第N页] mark, 0 without one."""
+    return F.coalesce(F.regexp_extract(text, r"\[第(\d+)页\]", 1).try_cast("int"), F.lit(0))
+
+
+def without_page_marks(text: Column, most: int = 800) -> Column:
+    return F.substring(F.regexp_replace(text, r"\[第\d+页\]\s*", ""), 1, most)
+
+
+def domain_key(chapter: Column) -> Column:
+    """What stands before the first 第, or the first six characters."""
+    return F.when(chapter.contains("第"), strip(F.substring_index(chapter, "第", 1))).otherwise(F.substring(chapter, 1, 6))
+
+
+def compressed(definition: Column) -> Column:
+    """At most 100 characters."""
+    return F.when(F.length(definition) > 100, F.concat(F.substring(definition, 1, 97), F.lit("..."))).otherwise(definition)
+
+
+def json_body(raw: Column) -> Column:
+    """The JSON object of an answer: without code fences, from the first brace to the last; null without one."""
+    bare = F.regexp_replace(F.regexp_replace(strip(raw), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
+    body = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    return F.when(body != "", body)
+
+
+def citation(book: Column, chapter: Column, page: Column) -> Column:
+    return F.format_string("[%s, %s, 第%d页]", book, chapter, page)
