@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,10 @@ WORD_SHARE, WORD_LEAST = 5e-6, 3
 BUCKETS = 1 << 20
 #: How many times more frequent the right reading must be.
 WORD_ODDS, PAIR_ODDS = 8, 10
+#: Most rows of a table of books that is sent to every executor.
+SENT_ROWS = 20_000
+#: Words whose reading a process remembers.
+MOST_READINGS = 200_000
 #: Repetitions that make a line at page edges a notice, and the share of them at edges.
 NOTICE_LEAST, NOTICE_EDGE = 3, 0.8
 #: How far Roman page numbers may run ahead of the pages.
@@ -49,6 +53,7 @@ def _pairs() -> dict[str, list[str]]:
 
 
 _ALIKE = _pairs()
+_LOOKS = re.compile(f"[{''.join(_ALIKE)}]")
 _WIDTH = str.maketrans(*width_pairs())
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ROMAN = re.compile(r"^(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$")
@@ -242,6 +247,7 @@ class Corpus:
 
     words: dict[str, int]
     pairs: np.ndarray
+    readings: dict[str, str | None] = field(default_factory=dict)
 
     def word(self, w: str) -> int:
         return self.words.get(w, 0)
@@ -267,6 +273,14 @@ _ODD = re.compile(r"[^a-z]")
 
 def reading(word: str, corpus: Corpus) -> str | None:
     """The word that a misread one should be, or None if it may stand as it is."""
+    if word not in corpus.readings:
+        if len(corpus.readings) > MOST_READINGS:
+            corpus.readings.clear()
+        corpus.readings[word] = _reading(word, corpus)
+    return corpus.readings[word]
+
+
+def _reading(word: str, corpus: Corpus) -> str | None:
     if len(word) < 2:
         return None
     if "-" in word:
@@ -306,10 +320,9 @@ def reading(word: str, corpus: Corpus) -> str | None:
 def misread_han(text: str, corpus: Corpus) -> list[tuple[int, str]]:
     """Places of characters whose neighbours go far better with a look-alike, and that look-alike."""
     out = []
-    for i, c in enumerate(text):
-        others = _ALIKE.get(c)
-        if not others:
-            continue
+    for m in _LOOKS.finditer(text):
+        i, c = m.start(), m.group()
+        others = _ALIKE[c]
         before = text[i - 1] if i and "一" <= text[i - 1] <= "鿿" else ""
         after = text[i + 1] if i + 1 < len(text) and "一" <= text[i + 1] <= "鿿" else ""
         if not before and not after:
@@ -398,19 +411,28 @@ def restored(c: Chapter, notices: set[str], corpus: Corpus) -> str:
     return "\n".join(out)
 
 
+def _sent(small: DataFrame) -> DataFrame:
+    """Broadcast a table of books if it has few rows, or else leave the join to a shuffle."""
+    return F.broadcast(small) if small.count() <= SENT_ROWS else small
+
+
 def prepare(chapters: DataFrame, books: DataFrame) -> tuple[DataFrame, Corpus]:
     """Chapters with their book's notices, and the corpus tables.
 
     ``chapters`` has textbook_id, ord, title, content, page_start and page_end, for scanned
     books only; ``books`` has textbook_id, title and filename, one row a book.
     """
-    about = books.groupBy("textbook_id").agg(F.max("title").alias("book_title"), F.max("filename").alias("filename"))
-    rows = chapters.where("textbook_id is not null").select("textbook_id", "ord", "title", "content", "page_start", "page_end").join(about, "textbook_id", "left")
+    about = cut(books.groupBy("textbook_id").agg(F.max("title").alias("book_title"), F.max("filename").alias("filename")))
+    rows = chapters.where("textbook_id is not null").select("textbook_id", "ord", "title", "content", "page_start", "page_end").join(_sent(about), "textbook_id", "left")
+    # a chapter is the unit of work, whatever share of them one book has
+    context = rows.sparkSession.sparkContext
+    tasks = max(4 * context.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = cut(rows.repartition(tasks, "textbook_id", "ord").dropDuplicates(["textbook_id", "ord", "content"]))
     edges = rows.mapInArrow(_edges, "textbook_id string, key string, edge long").groupBy("textbook_id", "key").agg(F.count("*").alias("n"), F.sum("edge").alias("edge"))
     edges = cut(edges)
     wide = edges.groupBy("key").agg(F.sum("n").alias("all_n"), F.sum("edge").alias("all_edge"))
     kept = edges.join(wide, "key").where((F.col("all_n") >= NOTICE_LEAST) & (F.col("all_edge") >= F.col("all_n") * NOTICE_EDGE))
-    rows = rows.join(kept.groupBy("textbook_id").agg(F.collect_set("key").alias("notices")), "textbook_id", "left")
+    rows = rows.join(_sent(cut(kept.groupBy("textbook_id").agg(F.collect_set("key").alias("notices")))), "textbook_id", "left")
     counts = cut(rows.mapInArrow(_tally, "word string, bucket long, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n")))
     total = counts.where("word is not null").agg(F.sum("n")).first()[0] or 0
     words = counts.where("word is not null").where(F.col("n") >= max(WORD_LEAST, WORD_SHARE * total)).select("word", "n").toArrow()
