@@ -48,10 +48,15 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return (m[good] / norm[good, None]).astype(np.float32), rows[good]
 
 
-def fit(vectors: DataFrame, dim: int, seed: int = 7, list_size: int = LIST_SIZE) -> Index:
-    """Fit centres on a bounded sample: SAMPLE_PER_LIST vectors for each of at most MOST_LISTS lists."""
+def fit(vectors: DataFrame, dim: int, seed: int = 7, list_size: int = LIST_SIZE, lists: int | None = None) -> Index:
+    """Fit centres on a bounded sample: SAMPLE_PER_LIST vectors for each of at most MOST_LISTS lists.
+
+    A search above a bound does well with many small lists; the k nearest of vectors
+    without much structure need the same share of lists at any size, so for them a
+    fixed number of lists keeps the questions few.
+    """
     total = max(1, vectors.count())
-    lists = int(min(MOST_LISTS, max(1, total // list_size)))
+    lists = lists or int(min(MOST_LISTS, max(1, total // list_size)))
     wanted = lists * SAMPLE_PER_LIST
     rows = vectors.select("embedding").sample(min(1.0, 1.3 * wanted / total), seed=seed).limit(2 * wanted).toArrow()
     rng = np.random.default_rng(seed)
@@ -134,7 +139,8 @@ def _meet(dim: int, least: float | None, k: int | None) -> Callable:
             q = vec[q_rows[a : a + 512]]
             bound = np.full(len(q), 2 - 2 * least if least is not None else np.inf, np.float32)
             for b in range(0, len(m_rows), 2048):
-                i, j, dist = _scan(q, vec[m_rows[b : b + 2048]], bound)
+                m = vec[m_rows[b : b + 2048]]
+                i, j, dist = _first(q, m, k) if k is not None and b == 0 else _scan(q, m, bound)
                 same = q_rows[a + i] == m_rows[b + j]
                 i, j, dist = i[~same], j[~same], dist[~same]
                 found_q.append(q_rows[a + i])
@@ -164,6 +170,16 @@ def _meet(dim: int, least: float | None, k: int | None) -> Callable:
     return run
 
 
+def _first(q: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows and one more (an asker may be stored here itself), with ties, where no bound is known yet."""
+    full = 2 - 2 * (q @ m.T)
+    if m.shape[0] > k + 1:
+        i, j = np.nonzero(full <= np.partition(full, k, axis=1)[:, k][:, None])
+    else:
+        i, j = np.nonzero(full < np.inf)
+    return i, j, ((q[i] - m[j]) ** 2).sum(1)
+
+
 def _scan(q: np.ndarray, m: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Askers, stored rows and squared distances that pass all tests against each asker's bound."""
     dim = q.shape[1]

@@ -92,7 +92,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar nodes of every node whose ord is divisible by 20."""
-    near = neighbours.search(node_vectors(spark, d), DIM, k=10, probes=96, asks="ord % 20 = 0")
+    vectors = node_vectors(spark, d)
+    index = neighbours.fit(vectors, DIM, lists=64)
+    near = neighbours.search(vectors, DIM, k=10, probes=14, asks="ord % 20 = 0", index=index)
     return near.select("id", "other", F.round("cosine", 4).alias("cosine"))
 
 

@@ -389,8 +389,12 @@ def restored(c: Chapter, notices: set[str], corpus: Corpus) -> str:
             paragraphs.append(now)
             now = []
         now.append((i, ln))
-        short = len(ln.strip()) < 0.75 * usual
-        if k == 0 and c.title and alike(letters(ln), c.title) or short and (ln.strip()[-1] in "。！？.!?—" or not re.search(r"[，,、]", ln) and len(ln.strip()) < 0.5 * usual):
+        here, after = ln.strip(), text[k + 1][1].strip() if k + 1 < len(text) else ""
+        title = k == 0 and c.title and alike(letters(ln), c.title)
+        ends = len(here) < 0.75 * usual and here[-1] in "。！？.!?—"
+        # a short line without a sign at its end stands alone, unless the next one goes on with it
+        alone = len(here) < 0.5 * usual and here[-1] not in CUTS and not re.search(r"[，,、]", here) and not after[:1].islower()
+        if title or ends or alone:
             paragraphs.append(now)
             now = []
     if now:
