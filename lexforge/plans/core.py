@@ -64,7 +64,21 @@ def sql_key(col: str) -> str:
 _LINKS = f"""links AS (SELECT DISTINCT {sql_key("source")} AS parent, {sql_key("target")} AS child FROM edges
   WHERE lower(trim(relation_type, {_WS})) = 'contains' AND {sql_key("source")} IS NOT NULL AND {sql_key("target")} IS NOT NULL)"""
 
+_TREE = f"""WITH RECURSIVE {_LINKS},
+reach AS (SELECT parent AS a, child AS b FROM links UNION SELECT r.a, l.child FROM reach r JOIN links l ON l.parent = r.b),
+ring AS (SELECT a AS node_id FROM reach WHERE a = b),
+part AS (SELECT n.node_id, least(n.node_id, min(coalesce(y.a, n.node_id))) AS cycle_id FROM ring n LEFT JOIN reach x ON x.a = n.node_id LEFT JOIN reach y ON y.a = x.b AND y.b = n.node_id GROUP BY n.node_id),
+ups AS (SELECT child, count(*) AS n_parents, coalesce(min(parent) FILTER (WHERE parent NOT IN (SELECT node_id FROM ring)), min(parent)) AS best FROM links WHERE parent <> child GROUP BY child),
+tree AS (SELECT child, best FROM ups WHERE child NOT IN (SELECT node_id FROM ring)),
+nodes_ AS (SELECT parent AS node_id FROM links UNION SELECT child FROM links),
+paths AS (SELECT node_id, [node_id] AS path FROM nodes_ WHERE node_id NOT IN (SELECT child FROM tree) UNION ALL SELECT t.child, list_append(p.path, t.child) FROM paths p JOIN tree t ON t.best = p.node_id),
+below AS (SELECT node_id, count(*) AS n FROM (SELECT unnest(path[1:len(path) - 1]) AS node_id FROM paths) GROUP BY 1)"""
+
 SQL = {
+    "p3_hierarchy": f"""{_TREE} SELECT p.node_id, p.path[len(p.path) - 1] AS parent_id, coalesce(u.n_parents, 0) AS n_parents, p.path[1] AS root_id, CAST(len(p.path) - 1 AS INTEGER) AS depth, p.path,
+  coalesce(b.n, 0) AS n_descendants, r.cycle_id FROM paths p LEFT JOIN ups u ON u.child = p.node_id LEFT JOIN below b USING (node_id) LEFT JOIN part r USING (node_id)""",
+    "p3_descendants": f"""{_TREE}, places AS (SELECT node_id, path, unnest(range(1, len(path))) AS i FROM paths)
+SELECT path[i] AS ancestor_id, node_id, CAST(len(path) - i AS INTEGER) AS distance FROM places""",
     "p3_found": f"""WITH RECURSIVE {_LINKS},
 reach AS (SELECT parent AS a, child AS b FROM links UNION SELECT r.a, l.child FROM reach r JOIN links l ON l.parent = r.b),
 ring AS (SELECT a AS node_id FROM reach WHERE a = b)
