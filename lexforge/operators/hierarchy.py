@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from lexforge.session import cut
 
 
+#: Rakes of one round of contraction.
+RAKES = 2
+
+
 def clean_links(links: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
     """Distinct links with both ends."""
     return links.select(F.col(parent).cast("string").alias("parent"), F.col(child).cast("string").alias("child")).where("parent is not null and child is not null").distinct()
@@ -70,16 +74,18 @@ def _contract_graph(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     live, loops, turn = cut(_with_via(links)), None, 0
     left = live.count()
     while left:
-        inner, fed = live.select(F.col("parent").alias("child")).distinct(), live.select(F.col("child").alias("parent")).distinct()
-        kept = cut(live.join(inner, "child", "left_semi").join(fed, "parent", "left_semi").select("parent", "child", "via"))
-        kept_count = kept.count()
+        kept = live
+        for _ in range(RAKES):
+            inner, fed = kept.select(F.col("parent").alias("child")).distinct(), kept.select(F.col("child").alias("parent")).distinct()
+            kept = kept.join(inner, "child", "left_semi").join(fed, "parent", "left_semi").select("parent", "child", "via")
+        kept = cut(kept)
         unary = cut(_unary(kept, turn))
-        if kept_count == left and unary.isEmpty():
+        if unary.isEmpty() and kept.count() == left:
             return kept, loops
-        joined = cut(_bypass(kept, unary)[0])
-        ring = joined.where("parent = child").select(F.col("parent").alias("node"), "via")
+        merged = cut(_bypass(kept, unary)[0].groupBy("parent", "child").agg(F.array_distinct(F.flatten(F.collect_list("via"))).alias("via")))
+        ring = merged.where("parent = child").select(F.col("parent").alias("node"), "via")
         loops = ring if loops is None else loops.unionByName(ring)
-        live = cut(joined.where("parent <> child").groupBy("parent", "child").agg(F.array_distinct(F.flatten(F.collect_list("via"))).alias("via")))
+        live = merged.where("parent <> child")
         left = live.count()
         turn += 1
     return live, loops
