@@ -262,6 +262,8 @@ def cut_word(a: str, b: str, corpus: Corpus) -> bool:
     whole, compound = corpus.word(a + b), corpus.word(f"{a}-{b}")
     if whole or compound:
         return whole >= compound
+    if corpus.word(f"{reading(a, corpus) or a}-{reading(b, corpus) or b}"):
+        return False
     for part in (a, b):
         if "-" in part:  # the compound itself is cut in its last part, or parted at its first hyphen
             return not (corpus.word(a) and corpus.word(b))
