@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.operators.prefix import running
+
+#: Parts into which the children of a parent are ranked.
+SPLITS = 256
+
 
 def totals(books: DataFrame) -> DataFrame:
     """Books, pages and characters in all."""
@@ -14,8 +19,8 @@ def totals(books: DataFrame) -> DataFrame:
 def colours(nodes: DataFrame, count: int = 7) -> DataFrame:
     """textbook_id and colour: books in order of their first node, modulo the number of colours."""
     first = nodes.groupBy("textbook_id").agg(F.min("ord").alias("first"))
-    # one row a book
-    return first.select("textbook_id", ((F.row_number().over(Window.orderBy("first")) - 1) % count).alias("colour"))
+    placed = running(first, [F.col("first"), F.col("textbook_id")], F.lit(0), to="_z", number="n")
+    return placed.select("textbook_id", (F.col("n") % count).cast("int").alias("colour"))
 
 
 def display(nodes: DataFrame) -> DataFrame:
@@ -35,6 +40,10 @@ def choices(tree: DataFrame, most: int = 500, children: int = 40) -> DataFrame:
 
     ``tree`` has path (array of ord from the root), depth, parent_id and name.
     """
-    capped = tree.withColumn("_n", F.row_number().over(Window.partitionBy("parent_id").orderBy("path"))).where(F.col("_n") <= children)
+    # the first children of each part of a parent's rows, then the first of these, so that no task sees a large parent whole
+    split = F.pmod(F.xxhash64("path"), F.lit(SPLITS))
+    capped = tree.withColumn("_s", split)
+    for by in (["parent_id", "_s"], ["parent_id"]):
+        capped = capped.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("path"))).where(F.col("_n") <= children)
     sign = F.when(F.col("depth") == 0, "📚 ").when(F.col("depth") == 1, "📖 ").when(F.col("depth") == 2, "📑 ").otherwise("📌 ")
     return capped.orderBy("path").limit(most).select(F.concat(sign, "name").alias("label"))

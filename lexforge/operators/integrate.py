@@ -114,11 +114,11 @@ def domain_coverage(nodes: DataFrame, top: int = 8, names: int = 5) -> DataFrame
     return counts.join(sample, "domain").select("domain", "concepts", text.alias("sample"))
 
 
-def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """textbook_id and json of each book's own graph: counts, nodes and edges. Books are exported one by one; a book is one value."""
-    n = nodes.groupBy("textbook_id").agg(F.count("*").alias("node_count"), F.array_sort(F.collect_list(F.struct("id", "name", "definition", F.col("importance_level").alias("importance"), "chapter", "page"))).alias("nodes"))
-    e = edges.groupBy("textbook_id").agg(F.count("*").alias("edge_count"), F.array_sort(F.collect_list(F.struct("source", "target", "relation_type", "description"))).alias("edges"))
-    return n.join(e, "textbook_id", "left").select("textbook_id", F.to_json(F.struct("node_count", F.coalesce("edge_count", F.lit(0)).alias("edge_count"), "nodes", "edges")).alias("json"))
+def graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """textbook_id, kind and json: every book's own graph as one JSON object a node or edge, to be written by book."""
+    n = nodes.select("textbook_id", F.lit("node").alias("kind"), F.to_json(F.struct("id", "name", "definition", F.col("importance_level").alias("importance"), "chapter", "page")).alias("json"))
+    e = edges.select("textbook_id", F.lit("edge").alias("kind"), F.to_json(F.struct("source", "target", "relation_type", "description")).alias("json"))
+    return n.unionByName(e)
 
 
 def report(stat: DataFrame, coverage: DataFrame, decided: DataFrame, cases: int = 5) -> DataFrame:

@@ -30,3 +30,30 @@ def running(rows: DataFrame, order: list[Column], value: Column, to: str = "befo
         first = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
         out = out.withColumn(number, first[F.col("_p")] + F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
     return out.drop("_v", "_p")
+
+
+def last_known(rows: DataFrame, group: str, order: str, value: Column, to: str) -> DataFrame:
+    """Add the last value that isn't null up to each row of its group, in order.
+
+    Rows are range-partitioned by group and order, so a group may go over many
+    partitions; what one hands to the next is one value, and only those are on the driver.
+    """
+    placed = cut(rows.withColumn("_v", value).repartitionByRange(group, order).withColumn("_p", F.spark_partition_id()))
+    place = F.struct(group, order)
+    ends = {r["_p"]: r for r in placed.groupBy("_p").agg(F.min(group).alias("first"), F.max(group).alias("last"), F.max_by(F.struct(F.col(group).alias("g"), F.col("_v").alias("v")), F.when(F.col("_v").isNotNull(), place)).alias("told")).collect()}
+    carried, now = {}, None
+    for p in sorted(ends):
+        r = ends[p]
+        if now is not None and r["first"] == now[0]:
+            carried[p] = now
+        if r["told"] is not None and r["told"]["g"] == r["last"]:
+            now = (r["last"], r["told"]["v"])
+        elif now is not None and now[0] != r["last"]:
+            now = None
+    own = Window.partitionBy("_p", group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumn(to, F.last("_v", ignorenulls=True).over(own))
+    if carried:
+        before = F.create_map(*[F.lit(x) for p, (_, v) in carried.items() for x in (p, v)])
+        whose = F.create_map(*[F.lit(x) for p, (g, _) in carried.items() for x in (p, g)])
+        out = out.withColumn(to, F.coalesce(to, F.when(whose[F.col("_p")] == F.col(group), before[F.col("_p")])))
+    return out.drop("_v", "_p")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import chapter_number, is_footer, strip, visible_length
+from lexforge.operators.prefix import last_known
 
 #: Fixed value: the title of text before the first heading.
 PREFACE = "前言"
@@ -61,7 +62,9 @@ def pdf_chapters(page_lines: DataFrame, total_pages: DataFrame) -> DataFrame:
     w = Window.partitionBy("textbook_id").orderBy("page_idx")
     spans = heads.join(total_pages, "textbook_id").select("textbook_id", "title", "page_idx", (F.coalesce(F.lead("page_idx").over(w), F.col("total_pages")) - 1).alias("last_idx"), F.row_number().over(w).alias("n"))
     body = page_lines.where(~is_footer(F.col("text"))).groupBy("textbook_id", "page_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda s: s["text"]), "\n").alias("page"))
-    inside = spans.join(body, (spans["textbook_id"] == body["textbook_id"]) & body["page_idx"].between(spans["page_idx"], spans["last_idx"]), "left").select(spans["textbook_id"], "n", "title", spans["page_idx"].alias("first"), "last_idx", body["page_idx"].alias("at"), "page")
+    spans = spans.withColumnRenamed("page_idx", "first")
+    pages = body.select(F.col("textbook_id").alias("of"), F.col("page_idx").alias("at"), "page")
+    inside = spans.join(pages, (F.col("textbook_id") == F.col("of")) & F.col("at").between(F.col("first"), F.col("last_idx")), "left").select("textbook_id", "n", "title", "first", "last_idx", "at", "page")
     return inside.groupBy("textbook_id", "n", "title", "first", "last_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "page"))), lambda s: s["page"]), "\n").alias("content")).select(
         "textbook_id", F.format_string("ch_%02d", "n").alias("chapter_id"), "title", (F.col("first") + 1).alias("page_start"), (F.col("last_idx") + 1).alias("page_end"), "content", visible_length(F.col("content")).alias("char_count")
     )
@@ -74,9 +77,8 @@ def outline_tree(toc: DataFrame) -> DataFrame:
     the last level 1 that is kept, and without one it is left out.
     """
     kept = toc.where(F.col("level").isin(1, 2) & ~F.coalesce(F.col("title"), F.lit("")).rlike(NO_CHAPTERS))
-    w = Window.partitionBy("book").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    above = F.last(F.when(F.col("level") == 1, F.col("ord")), ignorenulls=True).over(w)
-    tree = kept.withColumn("above", above).where("level = 1 or above is not null")
+    kept = last_known(kept.where("book is not null"), "book", "ord", F.when(F.col("level") == 1, F.col("ord")), to="above")
+    tree = kept.where("level = 1 or above is not null")
     return tree.select("book", "ord", F.when(F.col("level") == 2, F.col("above")).alias("parent_ord"), F.col("level").alias("depth"), "title", "page")
 
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one block of the pair join, and questions that are scored together.
-BLOCK, QUESTIONS = 8192, 4096
+#: Rows of one block of the pair join, questions of one call, and questions that are scored at once.
+BLOCK, QUESTIONS, TOGETHER = 8192, 4096, 256
 
 
 def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,30 +77,33 @@ def top_per_question(questions: DataFrame, chunks: DataFrame, dim: int, k: int)
     if len(ids) > QUESTIONS:
         raise ValueError(f"ask at most {QUESTIONS} questions at once")
 
+    def prune(found: tuple) -> tuple:
+        """The k best of every question, ties by ord."""
+        n, s, o, keys = found
+        order = np.lexsort((o, -s, n))
+        rank = np.arange(len(n)) - np.searchsorted(n[order], n[order])
+        keep = order[rank < k]
+        return n[keep], s[keep], o[keep], keys.take(pa.array(keep))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray, list]] = []
+        best = None
         for batch in batches:
             v, rows = _unit_rows(batch["embedding"], dim)
             if not len(v) or not len(q):
                 continue
-            score, order = q @ v.T, batch["ord"].to_numpy(zero_copy_only=False)[rows]
-            keys = batch["key"].take(pa.array(rows)).to_pylist()
-            for n in range(len(q)):
-                top = np.lexsort((order, -score[n]))[:k]
-                best.append((np.full(len(top), n), score[n][top], [(order[x], keys[x]) for x in top]))
-        if not best:
-            return
-        n = np.concatenate([b[0] for b in best])
-        s = np.concatenate([b[1] for b in best])
-        rest = [x for b in best for x in b[2]]
-        o = np.array([x[0] for x in rest])
-        order = np.lexsort((o, -s, n))
-        rank = np.arange(len(n)) - np.searchsorted(n[order], n[order])
-        keep = order[rank < k]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[n[keep]]), pa.array(o[keep]), pa.array([rest[x][1] for x in keep], kinds["key"]), pa.array(s[keep])], ["qid", "ord", "key", "score"])
+            order, keys = batch["ord"].to_numpy(zero_copy_only=False)[rows], batch["key"].take(pa.array(rows))
+            for a in range(0, len(q), TOGETHER):
+                score = q[a : a + TOGETHER] @ v.T
+                # all that tie with the k-th stay until the last cut
+                bar = np.partition(score, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(score), -np.inf)
+                n, at = np.nonzero(score >= bar[:, None])
+                part = (n + a, score[n, at], order[at], keys.take(pa.array(at)))
+                best = part if best is None else tuple(np.concatenate([x, y]) for x, y in zip(best[:3], part[:3], strict=True)) + (pa.chunked_array([best[3], part[3]]).combine_chunks(),)
+            best = prune(best)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), best[3], pa.array(best[1])], ["qid", "ord", "key", "score"])
 
     shape = {c: chunks.schema[c].dataType.simpleString() for c in ("ord", "key")}
-    kinds = {"key": {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[shape["key"]]}
     found = chunks.select("ord", "key", "embedding").mapInArrow(run, f"qid {questions.schema['qid'].dataType.simpleString()}, ord {shape['ord']}, key {shape['key']}, score double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "ord"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")

@@ -33,8 +33,8 @@ def no_answer(messages: Messages) -> str:
 def hashed_vector(text: str, dim: int = 64) -> list[float]:
     """A unit vector of hashed pairs of characters; a stand-in that needs no model, without meaning."""
     v = np.zeros(dim)
-    for a, b in zip(text, text[1:] + " ", strict=True):
-        h = int.from_bytes(hashlib.md5((a + b).encode("utf-8", "replace")).digest()[:8], "little")
+    for k in range(len(text)):
+        h = int.from_bytes(hashlib.md5(text[k : k + 2].encode("utf-8", "replace")).digest()[:8], "little")
         v[h % dim] += 1.0 if h >> 63 else -1.0
     norm = np.linalg.norm(v)
     return (v / norm if norm else v).tolist()

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexforge.operators import integrate as g
-from lexforge.operators.prefix import running
+from lexforge.operators.prefix import last_known, running
 
 
 def test_judge_rules(spark):
@@ -60,6 +60,12 @@ def test_running_totals(spark):
     assert running(rows.limit(0), [F.col("i")], F.col("x"), number="n").count() == 0
 
 
+def test_last_known_over_partitions(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(2000)] + [("b", i) for i in range(50)] + [("c", 7)], "g string, i int")
+    got = {(r.g, r.i): r.last for r in last_known(rows, "g", "i", F.when((F.col("g") == "a") & F.col("i").isin(3, 1500), F.col("i")), to="last").collect()}
+    assert got == {(g, i): (None if g != "a" or i < 3 else 3 if i < 1500 else 1500) for g, i in got} and len(got) == 2051
+
+
 def test_domains_report_overrides_and_json(spark):
     n = spark.createDataFrame([(f"n{i}", f"c{i}", "极限论第一章" if i < 7 else "Introduction", i, "b", "", "重要", 1) for i in range(8)], "id string, name string, chapter string, ord long, textbook_id string, definition string, importance_level string, page int")
     cov = g.domain_coverage(n)
@@ -70,4 +76,5 @@ def test_domains_report_overrides_and_json(spark):
     o = spark.createDataFrame([("merge_0001", "keep", None)], "decision_id string, action string, result_node string")
     assert by_hand(g.overridden(d, o).select("action")) == [("keep",)]
     e = spark.createDataFrame([("b", "n0", "n1", "contains", "")], "textbook_id string, source string, target string, relation_type string, description string")
-    assert '"node_count":8' in g.graph_json(n, e).first().json
+    got = g.graph_rows(n, e).collect()
+    assert len(got) == 9 and [r.json for r in got if r.kind == "edge"] == ['{"source":"n0","target":"n1","relation_type":"contains","description":""}']
