@@ -25,14 +25,14 @@ def clean_links(links: DataFrame, parent: str = "parent", child: str = "child")
 
 
 def _unary(links: DataFrame, turn: int) -> DataFrame:
-    """Nodes with one parent and one child; ``goes`` marks a set of them without neighbours in it."""
+    """Nodes with one parent and one child; ``goes`` marks those that rank below both neighbours, so that no two of them touch."""
     ends = links.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(None).cast("string").alias("down")).unionByName(
         links.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("up"), F.col("child").alias("down"))
     )
-    coin = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2))
-    unary = ends.groupBy("node").agg(F.count("up").alias("ups"), F.count("down").alias("downs"), F.max("up").alias("up"), F.max("down").alias("down")).where("ups = 1 and downs = 1").select("node", "up", coin.alias("coin"))
-    above = unary.select(F.col("node").alias("up"), F.col("coin").alias("up_coin"))
-    return unary.join(above, "up", "left").select("node", "up", F.expr("coin = 1 and coalesce(up_coin, 0) = 0").alias("goes"))
+    unary = ends.groupBy("node").agg(F.count("up").alias("ups"), F.count("down").alias("downs"), F.max("up").alias("up"), F.max("down").alias("down")).where("ups = 1 and downs = 1").select("node", "up", "down", F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("n")).alias("rank"))
+    above, below = (unary.select(F.col("node").alias(end), F.col("rank").alias(f"{end}_rank")) for end in ("up", "down"))
+    lower = [F.col(f"{end}_rank").isNull() | (F.col("rank") < F.col(f"{end}_rank")) for end in ("up", "down")]
+    return unary.join(above, "up", "left").join(below, "down", "left").select("node", "up", (lower[0] & lower[1]).alias("goes"))
 
 
 def _bypass(links: DataFrame, unary: DataFrame) -> tuple[DataFrame, DataFrame]:
