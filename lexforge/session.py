@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +30,23 @@ def build_session(cpus: int | str = "*", app: str = "lexforge", **conf: str) ->
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once for each context, so that they needn't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_lexforge_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="lexforge-")) / "lexforge.zip"  # read by the driver only, which serves it
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, f"{root.name}/{path.relative_to(root)}")
+    context.addPyFile(str(archive))
+    context._lexforge_shipped = True
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One Parquet table (a file or a folder of files) of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
