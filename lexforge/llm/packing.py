@@ -25,47 +25,77 @@ BUCKETS, RANKED = 256, 100_000
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """Upper bounds of the buckets that need the least padding: best cost of k buckets up to each length, k by k.
+    """Upper bounds of the buckets that need the least padding, by dynamic programming over the histogram.
 
-    ``lengths`` are distinct and ascending. The cost of a bucket is the sum of
-    what its items lack to its upper bound; choices of later buckets are monotone, so
-    each round is found by halving.
+    ``lengths`` are distinct and ascending. A bucket costs what its items lack to its
+    upper bound. The best cost is convex in the number of buckets, so a price for each
+    bucket is sought at which the wanted number is a best one; for one price the best
+    predecessor of a length is the lowest of lines in that length, kept as a hull.
     """
     m = len(lengths)
     if m <= buckets:
         return lengths
-    n = np.concatenate([[0.0], np.cumsum(counts, dtype=float)])
-    s = np.concatenate([[0.0], np.cumsum(counts * lengths, dtype=float)])
-
-    def cost(i, j):  # items i..j-1 padded to lengths[j-1]
-        return lengths[j - 1] * (n[j] - n[i]) - (s[j] - s[i])
-
-    best = np.array([np.inf if j == 0 else cost(0, j) for j in range(m + 1)])
-    best[0] = 0.0
-    choice = np.zeros((buckets, m + 1), np.int32)
-    for k in range(1, buckets):
-        new, pick = np.full(m + 1, np.inf), np.zeros(m + 1, np.int32)
-        new[0] = 0.0
-        layer = [(1, m, 0, m - 1)]
-        while layer:
-            lo, hi, a, b = layer.pop()
-            if lo > hi:
-                continue
-            mid = (lo + hi) // 2
-            i = np.arange(a, min(b, mid - 1) + 1)
-            c = best[i] + lengths[mid - 1] * (n[mid] - n[i]) - (s[mid] - s[i])
-            at = int(c.argmin())
-            new[mid], pick[mid] = c[at], i[at]
-            layer.append((lo, mid - 1, a, int(i[at])))
-            layer.append((mid + 1, hi, int(i[at]), b))
-        best, choice[k] = new, pick
-    out, j = [], m
-    for k in range(buckets - 1, -1, -1):
-        if j == 0:
-            break
-        out.append(lengths[j - 1])
-        j = int(choice[k][j]) if k else 0
-    return np.array(sorted(set(out)))
+    # in units so small that the number of buckets decides between equal costs
+    unit = m + 1
+    n = [0, *(unit * np.cumsum(counts)).tolist()]
+    s = [0, *(unit * np.cumsum(counts * lengths)).tolist()]
+    size = [0, *lengths.tolist()]
+    low, high = 0, 2 * size[-1] * int(counts.sum()) + 1  # costs and prices are whole numbers
+    while low < high:
+        mid = (low + high) // 2
+        if len(_cheapest(n, s, size, mid * unit + 1)) - 1 <= buckets:
+            high = mid
+        else:
+            low = mid + 1
+    few = _cheapest(n, s, size, low * unit + 1)
+    # at a price lower by one the fewest buckets are the most that are still cheapest at this one
+    many = _cheapest(n, s, size, (low - 1) * unit + 1) if low else few
+    return np.array([size[j] for j in _blend(few, many, buckets)[1:]])
+
+
+def _cheapest(n: list[int], s: list[int], size: list[int], price: int) -> list[int]:
+    """Ends of the buckets of the cheapest division at a price for each bucket, from 0 to the last."""
+    m = len(n) - 1
+    best, before = [0] * (m + 1), [0] * (m + 1)
+    # the line of a predecessor i at length x is best[i] + s[i] - n[i] x; slopes fall and lengths grow
+    hull, head = [0], 0
+    for j in range(1, m + 1):
+        x = size[j]
+        while head + 1 < len(hull):
+            a, b = hull[head], hull[head + 1]
+            if best[b] + s[b] - n[b] * x > best[a] + s[a] - n[a] * x:
+                break
+            head += 1
+        i = before[j] = hull[head]
+        best[j] = best[i] + s[i] - n[i] * x + x * n[j] - s[j] + price
+        c = best[j] + s[j]
+        while len(hull) - head > 1:
+            a, b = hull[-2], hull[-1]
+            if (best[b] + s[b] - best[a] - s[a]) * (n[j] - n[b]) < (c - best[b] - s[b]) * (n[b] - n[a]):
+                break
+            hull.pop()
+        hull.append(j)
+    out = [m]
+    while out[-1]:
+        out.append(before[out[-1]])
+    return out[::-1]
+
+
+def _blend(few: list[int], many: list[int], buckets: int) -> list[int]:
+    """Of two cheapest divisions at one price one with a number of buckets between.
+
+    Where a bucket of the few holds one of the many, the start of the many and the rest
+    of the few go together at the same cost.
+    """
+    more = buckets - (len(few) - 1)
+    if more <= 0:
+        return few
+    if len(many) - 1 <= buckets:
+        return many
+    for i in range(len(few) - 1):
+        if few[i] <= many[i + more] and many[i + more + 1] <= few[i + 1]:
+            return [*many[: i + more + 1], *few[i + 1 :]]
+    return few
 
 
 @dataclass
