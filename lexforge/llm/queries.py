@@ -86,7 +86,7 @@ def node_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of nodes with a cosine of at least 0.90."""
-    pairs = neighbours.search(node_vectors(spark, d), DIM, least=0.90, probes=4)
+    pairs = neighbours.search(node_vectors(spark, d), DIM, least=0.90, probes=16, margin=0.05)
     return pairs.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
