@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.session import cut
+from lexforge.session import cut, cut_counted
 
 
 #: Rakes of one round of contraction.
@@ -55,40 +55,39 @@ def _with_via(links: DataFrame) -> DataFrame:
 
 def _contract_forest(links: DataFrame) -> list[DataFrame]:
     """Contract trees to nothing; each step's record of the nodes it took out, in order."""
-    live, taken, turn = cut(_with_via(links)), [], 0
-    while not live.isEmpty():
+    taken, turn = [], 0
+    live, left = cut_counted(_with_via(links))
+    while left:
         inner = live.select(F.col("parent").alias("child")).distinct()
         marked = cut(live.join(inner.withColumn("inner", F.lit(True)), "child", "left"))
         taken.append(marked.where("inner is null").select(F.col("child").alias("node"), F.col("parent").alias("up"), "via"))
         kept = marked.where("inner").select("parent", "child", "via")
-        unary = cut(_unary(kept, turn))
-        joined, records = _bypass(kept, unary)
+        joined, records = _bypass(kept, cut(_unary(kept, turn)))
         taken.append(cut(records))
-        live = cut(joined)
+        live, left = cut_counted(joined)
         turn += 1
     return taken
 
 
-def _contract_graph(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Contract until only a core of cycles is left; the core, and the loops that came off on the way."""
-    live, loops, turn = cut(_with_via(links)), None, 0
-    left = live.count()
+def _contract_graph(links: DataFrame) -> tuple[DataFrame, int, DataFrame | None]:
+    """Contract until only a core of cycles is left; the core, its links, and the loops that came off on the way."""
+    loops, turn = None, 0
+    live, left = cut_counted(_with_via(links))
     while left:
         kept = live
         for _ in range(RAKES):
             inner, fed = kept.select(F.col("parent").alias("child")).distinct(), kept.select(F.col("child").alias("parent")).distinct()
             kept = kept.join(inner, "child", "left_semi").join(fed, "parent", "left_semi").select("parent", "child", "via")
-        kept = cut(kept)
-        unary = cut(_unary(kept, turn))
-        if unary.isEmpty() and kept.count() == left:
-            return kept, loops
-        merged = cut(_bypass(kept, unary)[0].groupBy("parent", "child").agg(F.array_distinct(F.flatten(F.collect_list("via"))).alias("via")))
-        ring = merged.where("parent = child").select(F.col("parent").alias("node"), "via")
-        loops = ring if loops is None else loops.unionByName(ring)
-        live = merged.where("parent <> child")
-        left = live.count()
+        kept, stay = cut_counted(kept)
+        merged, links_left = cut_counted(_bypass(kept, _unary(kept, turn))[0].groupBy("parent", "child").agg(F.array_distinct(F.flatten(F.collect_list("via"))).alias("via")))
+        if links_left == stay == left:
+            # links are distinct, and of any unary nodes one at least would have gone
+            return kept, left, loops
+        rings = cut(merged.where("parent = child").select(F.col("parent").alias("node"), "via"))
+        loops = rings if loops is None else loops.unionByName(rings)
+        live, left = cut_counted(merged.where("parent <> child"))
         turn += 1
-    return live, loops
+    return live, left, loops
 
 
 def cycles(links: DataFrame) -> DataFrame:
@@ -101,16 +100,16 @@ def cycles(links: DataFrame) -> DataFrame:
     """
     plain = clean_links(links)
     own = plain.where("parent = child").select(F.col("parent").alias("node"), F.array().cast("array<string>").alias("via"))
-    core, loops = _contract_graph(plain.where("parent <> child"))
-    rings = cut(own if loops is None else own.unionByName(loops))
-    parts = strong_parts(core)
-    # the chain behind a link inside one part belongs to it
-    head, tail = parts.select(F.col("node").alias("parent"), F.col("part").alias("a")), parts.select(F.col("node").alias("child"), F.col("part").alias("b"))
-    behind = core.join(head, "parent").join(tail, "child").where("a = b").select(F.col("a").alias("part"), F.explode("via").alias("node"))
+    core, left, loops = _contract_graph(plain.where("parent <> child"))
+    rings = own if loops is None else own.unionByName(loops)
     # a loop hangs on a node which may lie inside a larger part, or inside the chain of another loop
-    member = cut(parts.select("node", "part").unionByName(behind.select("node", "part")))
-    ring_rows = rings.select(F.col("node").alias("at"), F.explode(F.array_union(F.array("node"), "via")).alias("node"))
-    pairs = member.select(F.col("part").alias("at"), "node").unionByName(ring_rows)
+    pairs = rings.select(F.col("node").alias("at"), F.explode(F.array_union(F.array("node"), "via")).alias("node"))
+    if left:
+        parts = strong_parts(core)
+        # the chain behind a link inside one part belongs to it
+        head, tail = parts.select(F.col("node").alias("parent"), F.col("part").alias("a")), parts.select(F.col("node").alias("child"), F.col("part").alias("b"))
+        behind = core.join(head, "parent").join(tail, "child").where("a = b").select(F.col("a").alias("at"), F.explode("via").alias("node"))
+        pairs = pairs.unionByName(parts.select(F.col("part").alias("at"), "node")).unionByName(behind)
     return _merge_parts(pairs)
 
 

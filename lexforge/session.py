@@ -64,6 +64,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="lexforge-cut-"))
 
 
+def cut_counted(frame: DataFrame) -> tuple[DataFrame, int]:
+    """cut(), and the number of rows, counted without another plan."""
+    out = cut(frame)
+    return out, out._jdf.queryExecution().toRdd().count()
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder now and go on from there.
 
