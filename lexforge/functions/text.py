@@ -8,8 +8,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The characters that Unicode counts as white space.
-BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+#: The characters that Unicode counts as white space.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def strip(col: Column) -> Column:
