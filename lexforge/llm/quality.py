@@ -175,13 +175,12 @@ def statistics(texts: list[str], common: np.ndarray) -> dict[str, np.ndarray]:
     text_hash = np.concatenate([[0], np.cumsum(p.code * 2_654_435_761 % 1_000_000_007)])
     shape = (text_hash[end + 1] - text_hash[begin]) * 64 + (end - begin) % 64
     distinct = _distinct(of, shape, p.count)
-    # windows: all of a short text, a fixed eighth by hash of a long one
+    # windows: all of every text, however long
     roll = np.zeros(max(0, len(kind) - WINDOW + 1), np.uint64)
     for k in range(WINDOW if len(roll) else 0):
         roll += p.code[k : k + len(roll)].astype(np.uint64) * _POWERS[k]
     inside = doc[: len(roll)] == doc[WINDOW - 1 : WINDOW - 1 + len(roll)] if len(roll) else np.empty(0, bool)
-    mixed = (roll ^ (roll >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    pick = np.flatnonzero(inside & ((p.size[doc[: len(roll)]] < 4000) | ((mixed >> np.uint64(40)) % np.uint64(8) == 0)))
+    pick = np.flatnonzero(inside)
     windows = np.bincount(doc[pick], minlength=p.count)
     unlike = _distinct(doc[pick], roll[pick].astype(np.int64), p.count)
     tags = p.per_doc((p.code == 60) & np.isin(np.concatenate([kind[1:], [_LINE]]), [_LATIN]) | (p.code == 60) & (np.concatenate([p.code[1:], [0]]) == 47))
@@ -202,7 +201,7 @@ def statistics(texts: list[str], common: np.ndarray) -> dict[str, np.ndarray]:
         "known_share": nan(known, pairs + words, 0.0),
         "ends_per_100": 100 * p.per_doc((kind == _END)) / some,
         "distinct_window_share": nan(unlike, windows, 1.0),
-        "distinct_windows": unlike * np.where(p.size < 4000, 1, 8),
+        "distinct_windows": unlike,
         "tag_share": 100 * tags / some,
         "code_line_share": np.bincount(of, coded, p.count) / lines,
         "code_share": p.per_doc(np.isin(p.code, [ord(c) for c in CODE])) / some,

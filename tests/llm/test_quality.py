@@ -71,3 +71,13 @@ def test_learning_finds_planted_accuracies():
     patterns, counts = np.unique((fires * (1 << np.arange(len(q.RULES)))).sum(1), return_counts=True)
     share, learnt = q.learn(patterns, counts.astype(float))
     assert abs(share[0] - 0.7) < 0.05 and np.abs(learnt[:, 0] - theta[:, 0]).max() < 0.05
+
+
+def test_long_texts_that_repeat_a_phrase_have_a_small_share_of_distinct_windows():
+    # as many distinct windows as the period, and one with the line end: below and above the former limit of 4,000 characters
+    for phrase in ("欢迎关注我们的公众号。", "This is the end. ", "这是在做什么呢。", "转载请注明出处 "):
+        for size in (3_999, 5_000, 50_000):
+            text = (phrase * (size // len(phrase) + 1))[:size]
+            got = q.statistics([text], np.zeros(2 * q.BUCKETS, bool))
+            assert got["distinct_windows"][0] == len(phrase) + 1, (phrase, size)
+            assert abs(got["distinct_window_share"][0] - (len(phrase) + 1) / (size - q.WINDOW + 2)) < 1e-9
