@@ -205,7 +205,8 @@ def search(vectors: DataFrame, dim: int, *, least: float | None = None, k: int |
     ``vectors`` has id string and embedding array<float>; other columns are ignored.
     ``asks`` is a condition for the rows that ask. Vectors that are null, of another
     length, all zero or not finite are no candidates and don't ask. Repeated rows of
-    an id count once, and an id is never its own neighbour. Ties at the k-th place go
+    an id count once (for the k most similar, its smallest usable vector), and an id is
+    never its own neighbour. Ties at the k-th place go
     to the smallest ids. No usable vectors give an empty result. ``probes`` lists are
     asked at most, of those whose centre is within ``margin`` of the nearest one.
     """
@@ -213,6 +214,10 @@ def search(vectors: DataFrame, dim: int, *, least: float | None = None, k: int |
         raise ValueError("give either least or k")
     rows = vectors.where("id is not null").select("id", "embedding", F.expr(asks).alias("asks"))
     index = index or fit(rows, dim)
+    if k is not None:
+        # places are counted in rows from here on, so copies of an id leave before the lists are scanned
+        usable = (F.size("embedding") == dim) & F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        rows = rows.where(usable).groupBy("id").agg(F.min("embedding").alias("embedding"), F.max("asks").alias("asks"))
     sent = rows.mapInArrow(_spread(index, dim, probes, margin), "list_no int, m_block int, q_block int, id string, stored boolean, asks boolean, vec binary")
     met = sent.groupBy("list_no", "m_block", "q_block").applyInArrow(_meet(dim, least, k), "id string, other string, cosine double")
     pairs = met.where("id <> other")

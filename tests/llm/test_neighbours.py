@@ -74,3 +74,10 @@ def test_scan_keeps_what_a_full_scan_keeps():
     full = ((q[:, None] - m[None]) ** 2).sum(2)
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(full <= 0.3)), strict=True))
     assert np.allclose(d, full[i, j], atol=1e-4)
+
+
+def test_copies_of_a_neighbour_or_of_the_asker_take_no_places(spark):
+    ids = ["a"] * 21 + ["b"] * 21 + ["c", "d", "e", "f"]
+    vectors = [[1, 0]] * 21 + [[1, 0.01]] * 21 + [[1, 0.02], [1, 0.03], [1, 0.04], [0, 1]]
+    got = sorted((r.id, r.other) for r in n.search(frame(spark, ids, vectors), 2, k=3, asks="id = 'a'").collect())
+    assert got == [("a", "b"), ("a", "c"), ("a", "d")]
