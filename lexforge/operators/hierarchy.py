@@ -207,3 +207,56 @@ def descendants(paths: DataFrame) -> DataFrame:
     """ancestor_id, node_id and distance for every node below another, from the rows of hierarchy."""
     at = paths.select("node_id", "depth", F.posexplode("path").alias("place", "ancestor_id"))
     return at.where("place < depth").select("ancestor_id", "node_id", (F.col("depth") - F.col("place")).alias("distance"))
+
+
+def _closure(links: DataFrame) -> DataFrame | None:
+    """parent and child of every link and every chain of links without cycles; None without links.
+
+    ``step`` holds the chains of 1, 2, 4... links and ``known`` all shorter ones, so the
+    number of rounds grows with the logarithm of the longest chain.
+    """
+    known = None
+    step, left = cut_counted(links.select("parent", "child"))
+    while left:
+        start = step.select("parent", F.col("child").alias("mid"))
+        if known is None:
+            known = step
+        else:
+            longer = start.join(known.withColumnRenamed("parent", "mid"), "mid").select("parent", "child")
+            known = cut(known.unionByName(step).unionByName(longer).distinct())
+        step, left = cut_counted(start.join(step.withColumnRenamed("parent", "mid"), "mid").select("parent", "child").distinct())
+    return known
+
+
+def _reached_parts(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """node_id and part of every node (nodes that lead to each other are one part), and which parts lead to which others."""
+    plain = cut(clean_links(links))
+    ring = cycles(plain).withColumnRenamed("cycle_id", "part")
+    nodes = plain.select(F.col("parent").alias("node_id")).union(plain.select("child")).distinct()
+    member = cut(nodes.join(ring, "node_id", "left").select("node_id", F.coalesce("part", "node_id").alias("part")))
+    above, below = (member.select(F.col("node_id").alias(end), F.col("part").alias(f"{end}_part")) for end in ("parent", "child"))
+    between = plain.join(above, "parent").join(below, "child").where("parent_part <> child_part")
+    return member, _closure(between.select(F.col("parent_part").alias("parent"), F.col("child_part").alias("child")).distinct())
+
+
+def all_descendants(links: DataFrame) -> DataFrame:
+    """ancestor_id and node_id for every node that another leads to, over any of its parents and through cycles.
+
+    Nodes on one cycle are each other's descendants; no node is its own.
+    """
+    member, parts = _reached_parts(links)
+    above, below = member.select(F.col("node_id").alias("ancestor_id"), F.col("part").alias("parent")), member.withColumnRenamed("part", "child")
+    out = above.join(below, F.col("parent") == F.col("child")).where("ancestor_id <> node_id").select("ancestor_id", "node_id")
+    if parts is not None:
+        out = out.unionByName(parts.join(above, "parent").join(below, "child").select("ancestor_id", "node_id"))
+    return out
+
+
+def descendant_counts(links: DataFrame) -> DataFrame:
+    """node_id and n_descendants of every node: how many rows of all_descendants it has, without making them."""
+    member, parts = _reached_parts(links)
+    sizes = member.groupBy("part").agg(F.count("*").alias("size"))
+    per = sizes.select("part", (F.col("size") - 1).alias("n"))
+    if parts is not None:
+        per = per.unionByName(parts.join(sizes.withColumnRenamed("part", "child"), "child").select(F.col("parent").alias("part"), F.col("size").alias("n")))
+    return member.join(per.groupBy("part").agg(F.sum("n").alias("n_descendants")), "part").select("node_id", "n_descendants")

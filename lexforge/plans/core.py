@@ -30,6 +30,16 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.hierarchy(contains_links(spark, d)))
 
 
+def p3_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every node that another leads to over contains links, over any parent and through cycles."""
+    return hierarchy.all_descendants(contains_links(spark, d))
+
+
+def p3_descendant_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Number of all those descendants of every node with contains links."""
+    return hierarchy.descendant_counts(contains_links(spark, d))
+
+
 def edge_references(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "edges")
     ends = F.explode(F.array(*[F.struct(F.lit(x).alias("endpoint"), node_key(F.col(x)).alias("key")) for x in ("source", "target")]))
@@ -52,7 +62,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.report(states, "edges")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_descendants, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_descendants, p3_all_descendants, p3_descendant_counts, p6_found, p6_report)}
 
 _WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||" + "||".join(f"chr({ord(c)})" for c in BLANKS if ord(c) > 126)
 

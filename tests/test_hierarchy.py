@@ -78,3 +78,42 @@ def test_hot_parent(spark):
     pairs = [("hub", f"c{i}") for i in range(3000)] + [("c1", "leaf")]
     got = h.hierarchy(links(spark, pairs)).where("node_id in ('hub', 'leaf')").select("node_id", "n_descendants", "depth")
     assert by_hand(got) == [("hub", 3001, 0), ("leaf", 0, 2)]
+
+
+def below_all(pairs):
+    """Every ancestor and descendant over any links, by plain search."""
+    to = {}
+    for a, b in pairs:
+        to.setdefault(a, set()).add(b)
+    out = set()
+    for x in {n for p in pairs for n in p}:
+        seen, todo = set(), list(to.get(x, ()))
+        while todo:
+            y = todo.pop()
+            if y not in seen:
+                seen.add(y)
+                todo.extend(to.get(y, ()))
+        out |= {(x, y) for y in seen if y != x}
+    return out
+
+
+def test_all_descendants_over_second_parents_and_through_cycles(spark):
+    rng = random.Random(8)
+    cases = [
+        [("r", "a"), ("a", "b"), ("b", "a"), ("b", "d"), ("s", "s"), ("s", "d"), ("a", "n"), ("z", "n"), ("n", "m")],
+        [(f"m{i}", f"m{i + 1}") for i in range(40)],
+        [(str(rng.randrange(25)), str(rng.randrange(25))) for _ in range(32)],
+    ]
+    for pairs in cases:
+        want = below_all(pairs)
+        assert by_hand(h.all_descendants(links(spark, pairs))) == sorted(want)
+        nodes = {n for p in pairs for n in p}
+        assert by_hand(h.descendant_counts(links(spark, pairs))) == sorted((n, sum(a == n for a, _ in want)) for n in nodes)
+    assert h.all_descendants(links(spark, [])).count() == 0 and h.descendant_counts(links(spark, [])).count() == 0
+
+
+def test_all_descendants_of_the_small_tables(spark, small):
+    from lexforge.plans import core
+
+    pairs = [tuple(r) for r in core.contains_links(spark, small).collect() if r.parent is not None and r.child is not None]
+    assert by_hand(core.p3_all_descendants(spark, small)) == sorted(below_all(pairs))
