@@ -71,6 +71,14 @@ def test_incremental_runs_go_on_where_they_stopped(spark, tmp_path):
     assert by_hand(pending(spark.createDataFrame([("b1",), ("b3",)], "textbook_id string"), spark.read.parquet(out))) == [("b3",)]
 
 
+def test_incremental_keeps_a_book_that_arrives_in_two_batches(spark, tmp_path):
+    source, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    for title in ("first", "second", "third"):
+        spark.createDataFrame([("b1", "f", title, 1, 2)], "textbook_id string, filename string, title string, total_pages int, total_chars long").coalesce(1).write.mode("append").parquet(source)
+        run_new(spark, source, "textbooks", lambda df: df, out, cp)
+    assert by_hand(spark.read.parquet(out).select("textbook_id", "title")) == [("b1", "first"), ("b1", "second"), ("b1", "third")]
+
+
 def test_plugins(spark):
     rows = spark.createDataFrame([("极限",), (None,)], "t string")
     got = [r.embedding for r in plugins.embed(rows, "t").collect()]
