@@ -10,6 +10,7 @@ to paragraphs.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 from lexforge.functions.text import width_pairs
 from lexforge.session import cut
 
-#: A word enters the vocabulary from this share of all words, and so many times; so it has at most 1 / share words.
+#: A word counts from so many times, whatever the corpus. From this share of all words its count is sent to every
+#: executor (at most 1 / share words); the counts of the others go to the chapters that ask for them.
 WORD_SHARE, WORD_LEAST = 5e-6, 3
+#: Flags that tell which words have such a count; the table has this size whatever the corpus.
+RARE_FLAGS = 1 << 22
 #: Buckets of the table of character pairs.
 BUCKETS = 1 << 20
 #: How many times more frequent the right reading must be.
@@ -243,14 +247,39 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Corpus:
-    """Frequent words with their counts, and counts of character pairs by bucket; of bounded size."""
+    """Frequent words with their counts, and counts of character pairs by bucket; of bounded size.
+
+    ``rare`` flags the words whose counts a chapter must bring along in ``told``; those
+    it lacks are gathered in ``asked``. Readings that rest on them hold for one chapter.
+    """
 
     words: dict[str, int]
     pairs: np.ndarray
     readings: dict[str, str | None] = field(default_factory=dict)
+    rare: np.ndarray | None = None
+    counts: DataFrame | None = None
+    told: dict[str, int] = field(default_factory=dict)
+    asked: set[str] = field(default_factory=set)
+    own: dict[str, str | None] = field(default_factory=dict)
+    touched: int = 0
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"counts": None}
+
+    def open(self, told: dict[str, int]) -> None:
+        """Go on to the next chapter."""
+        self.told, self.asked, self.own = told, set(), {}
 
     def word(self, w: str) -> int:
-        return self.words.get(w, 0)
+        n = self.words.get(w)
+        if n is not None:
+            return n
+        if self.rare is None or not self.rare[zlib.crc32(w.encode("utf-8", "replace")) & (RARE_FLAGS - 1)]:
+            return 0
+        self.touched += 1
+        if w not in self.told:
+            self.asked.add(w)
+        return self.told.get(w, 0)
 
     def pair(self, a: str, b: str) -> int:
         return int(self.pairs[(ord(a) * 40_503 + ord(b) * 65_599) & (BUCKETS - 1)])
@@ -275,11 +304,20 @@ _ODD = re.compile(r"[^a-z]")
 
 def reading(word: str, corpus: Corpus) -> str | None:
     """The word that a misread one should be, or None if it may stand as it is."""
-    if word not in corpus.readings:
+    if word in corpus.readings:
+        return corpus.readings[word]
+    if word in corpus.own:
+        corpus.touched += 1
+        return corpus.own[word]
+    before = corpus.touched
+    right = _reading(word, corpus)
+    if corpus.touched > before:
+        corpus.own[word] = right
+    else:
         if len(corpus.readings) > MOST_READINGS:
             corpus.readings.clear()
-        corpus.readings[word] = _reading(word, corpus)
-    return corpus.readings[word]
+        corpus.readings[word] = right
+    return right
 
 
 def _reading(word: str, corpus: Corpus) -> str | None:
@@ -441,21 +479,58 @@ def prepare(chapters: DataFrame, books: DataFrame) -> tuple[DataFrame, Corpus]:
     rows = rows.join(_sent(cut(kept.groupBy("textbook_id").agg(F.collect_set("key").alias("notices")))), "textbook_id", "left")
     counts = cut(rows.mapInArrow(_tally, "word string, bucket long, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n")))
     total = counts.where("word is not null").agg(F.sum("n")).first()[0] or 0
-    words = counts.where("word is not null").where(F.col("n") >= max(WORD_LEAST, WORD_SHARE * total)).select("word", "n").toArrow()
+    named = counts.where("word is not null").where(F.col("n") >= WORD_LEAST).select("word", "n")
+    words = named.where(F.col("n") >= WORD_SHARE * total).toArrow()
+    rare, flags = named.where(F.col("n") < WORD_SHARE * total), None
+    at = rare.select(F.crc32(F.encode("word", "utf-8")).bitwiseAND(RARE_FLAGS - 1).alias("flag")).distinct().toArrow()["flag"].to_numpy()
+    if len(at):
+        flags = np.zeros(RARE_FLAGS, bool)
+        flags[at] = True
     by_bucket = counts.where("bucket is not null").select("bucket", "n").toArrow()
     pairs = np.zeros(BUCKETS, np.int64)
     pairs[by_bucket["bucket"].to_numpy()] = by_bucket["n"].to_numpy()
-    return rows, Corpus(dict(zip(words["word"].to_pylist(), words["n"].to_pylist(), strict=True)), np.minimum(pairs, 2**31 - 1).astype(np.int32))
+    return rows, Corpus(dict(zip(words["word"].to_pylist(), words["n"].to_pylist(), strict=True)), np.minimum(pairs, 2**31 - 1).astype(np.int32), rare=flags, counts=rare)
+
+
+def _told(rows: DataFrame, corpus: Corpus, shared, each: Callable) -> DataFrame:
+    """Chapters with the counts of the rare words they ask for.
+
+    What is asked depends on answers, so chapters are gone through until none asks for
+    more. Chapters that share a key get the answers of both.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, words = [], []
+            for row in batch.to_pylist():
+                shared.value.open(dict(row["told"] or ()))
+                each(chapter_of(row), set(row["notices"] or ()), shared.value)
+                words.extend(sorted(shared.value.asked))
+                keys.extend([row["row_key"]] * len(shared.value.asked))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["row_key", "word"])
+
+    plain = cut(rows.withColumn("row_key", F.xxhash64("textbook_id", "ord", "content")))
+    told, known = plain.withColumn("told", F.lit(None).cast("map<string,bigint>")), None
+    while True:
+        asked = cut(told.mapInArrow(ask, "row_key long, word string").distinct())
+        if asked.isEmpty():
+            return told.drop("row_key")
+        answers = asked.join(corpus.counts, "word", "left").select("row_key", "word", F.coalesce("n", F.lit(0)).alias("n"))
+        known = cut(answers if known is None else known.unionByName(answers))
+        maps = known.groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("told"))
+        told = cut(plain.join(maps, "row_key", "left"))
 
 
 def _send(rows: DataFrame, corpus: Corpus, each: Callable, schema: str, names: list[str]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(corpus)
+    rows = _told(rows, corpus, shared, each) if corpus.rare is not None else rows.withColumn("told", F.lit(None).cast("map<string,bigint>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.int32(), *([pa.int32(), pa.string()] if len(names) == 4 else [pa.string()])]
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for row in batch.to_pylist():
+                shared.value.open(dict(row["told"] or ()))
                 for values in each(chapter_of(row), set(row["notices"] or ()), shared.value):
                     for col, v in zip(out, (row["textbook_id"], row["ord"], *values), strict=True):
                         col.append(v)

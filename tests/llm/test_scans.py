@@ -69,3 +69,16 @@ def test_nulls_repeats_nothing_and_long_text(spark):
     plain = by_hand(s.describe_lines(ch, bk))
     assert by_hand(s.describe_lines(ch.unionByName(odd).unionByName(ch), bk).where("textbook_id <> 'b9'")) == plain
     assert s.describe_lines(ch.limit(0), bk).count() == 0 and s.restore(ch.limit(0), bk.limit(0)).count() == 0
+
+
+def test_counts_of_words_are_exact_however_few_are_sent_to_all(spark, small, monkeypatch):
+    from lexforge.llm import queries
+
+    def results():
+        made = by_hand(s.describe_lines(*chapters(spark))), by_hand(s.restore(*chapters(spark)))
+        return *made, by_hand(queries.p4_found(spark, small)), by_hand(queries.p4_restored(spark, small))
+
+    monkeypatch.setattr(s, "WORD_SHARE", 0)
+    exact = results()
+    monkeypatch.setattr(s, "WORD_SHARE", 0.02)
+    assert results() == exact
