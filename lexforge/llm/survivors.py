@@ -22,10 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import width_pairs
+from lexforge.llm.groups import hash_to_min
 from lexforge.session import cut
 
 #: Records of a group that are aligned in one task; larger groups are cut into such blocks.
 BLOCK = 256
+#: Vectors of a name that are compared in one task; those of larger names meet two such slots at a time.
+VECTORS = 2048
 #: A character is a misreading of another if it is at most this share as frequent where the two stand in for each other.
 MISREAD_SHARE = 0.1
 #: Cosine below which two records of one name are different concepts.
@@ -516,34 +519,80 @@ def _alone(rows: pa.Table) -> pa.Table:
     )
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1)
+
+
+def _components(rows: DataFrame, block: int) -> DataFrame:
+    """Rows with their concept: a connected component of cosines of at least SAME_CONCEPT within a name, numbered by smallest id.
+
+    A name is cut into slots. Each finds the components of its own rows, every two of
+    them the links between theirs, and components that are linked are one.
+    """
+    slotted = cut(rows.withColumn("slots", F.ceil(F.col("blocks") * block / F.lit(VECTORS)).cast("int")).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int")))
+
+    def within(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        v = _matrix(group["v"])
+        label = np.full(len(v), -1)
+        for first in range(len(v)):
+            if label[first] >= 0:
+                continue
+            label[first], todo = first, np.array([first])
+            while len(todo):
+                left = np.flatnonzero(label < 0)
+                todo, more = todo[256:], left[(v[left] @ v[todo[:256]].T >= SAME_CONCEPT).any(1)]
+                label[more] = first
+                todo = np.concatenate([todo, more])
+        return pa.table({"key": group["key"], "id": group["id"], "slot": group["slot"], "slots": group["slots"], "part": group["id"].take(pa.array(label)), "v": group["v"]})
+
+    def between(group: pa.Table) -> pa.Table:
+        mine = np.asarray(group["slot"]) == np.asarray(group["x"])
+        one, two = group.filter(pa.array(mine)), group.filter(pa.array(~mine))
+        v, w = _matrix(one["v"]), _matrix(two["v"])
+        part = [t["part"].combine_chunks().dictionary_encode() for t in (one, two)]
+        a, b = (p.indices.to_numpy() for p in part)
+        links, most = [np.empty(0, np.int64)], len(part[1].dictionary)
+        for k in range(0, len(v), 512):
+            i, j = np.nonzero(v[k : k + 512] @ w.T >= SAME_CONCEPT)
+            links.append(np.unique(a[k + i].astype(np.int64) * most + b[j]))
+        ends = np.stack(np.divmod(np.unique(np.concatenate(links)), most), axis=1)
+        key = group["key"][0].as_py()
+        return pa.table({"key": pa.array([key] * len(ends), pa.string()), "a": part[0].dictionary.take(pa.array(ends[:, 0])), "b": part[1].dictionary.take(pa.array(ends[:, 1]))})
+
+    local = cut(slotted.groupBy("key", "id", "slot", "slots").agg(F.min("v").alias("v")).groupBy("key", "slot").applyInArrow(within, "key string, id string, slot int, slots int, part string, v array<double>"))
+    pairs = local.where("slots > 1").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).where("y <> slot").withColumn("x", F.least("slot", "y")).withColumn("z", F.greatest("slot", "y"))
+    links = pairs.groupBy("key", "x", "z").applyInArrow(_both(between), "key string, a string, b string").distinct()
+    name = lambda c: F.concat_ws("\0", "key", c)
+    joined = hash_to_min(links.select(name("a").alias("a"), name("b").alias("b"))).select(F.col("node_id").alias("named"), F.substring_index("group_id", "\0", -1).alias("first"))
+    parts = local.select("key", "part").distinct().withColumn("named", name("part")).join(joined, "named", "left").select("key", "part", F.coalesce("first", "part").alias("first"))
+    number = parts.select("key", "first").distinct().withColumn("concept", F.row_number().over(_by(["key"]).orderBy("first")) - 1)
+    concept = local.select("key", "id", "part").distinct().join(parts, ["key", "part"]).join(number, ["key", "first"]).groupBy("key", "id").agg(F.min("concept").alias("concept"))
+    return slotted.drop("slot", "slots").join(concept, ["key", "id"])
+
+
+def _both(run: Callable) -> Callable:
+    """Run on groups that hold rows of both slots; an empty table from others."""
+    none = pa.table({c: pa.array([], pa.string()) for c in ("key", "a", "b")})
+
+    def checked(group: pa.Table) -> pa.Table:
+        return run(group) if pc.count_distinct(group["slot"]).as_py() == 2 else none
+
+    return checked
+
+
 def _large(rows: DataFrame, foreign: set[str], block: int, dim: int) -> DataFrame:
-    """Groups larger than a block: concepts by leaders, consensus by blocks, and the survivor by distance."""
+    """Groups larger than a block: concepts by components, consensus by blocks, and the survivor by distance."""
     rows = cut(rows)
     good = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     size = F.sqrt(good)
     rows = rows.withColumn("v", F.when((F.size("embedding") == dim) & (size > 0) & (size < float("inf")), F.transform("embedding", lambda x: x / size)))
-    open_rows, labelled, turn = cut(rows.withColumn("concept", F.lit(None).cast("int"))), [], 0
-    while True:
-        heads = open_rows.where("v is not null").groupBy("key").agg(F.min_by("v", "id").alias("head"))
-        heads = cut(heads)
-        if heads.isEmpty():
-            break
-        met = open_rows.join(heads, "key", "left")
-        dot = F.aggregate(F.zip_with("v", "head", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-        met = cut(met.withColumn("near", (dot >= SAME_CONCEPT)).drop("head"))
-        labelled.append(met.where("near").withColumn("concept", F.lit(turn)).drop("near"))
-        open_rows = met.where("near is null or not near").drop("near")
-        turn += 1
+    known = _components(rows.where("v is not null"), block)
     # those without a usable vector go with their book, or else with the first concept
-    if labelled:
-        known = labelled[0]
-        for more in labelled[1:]:
-            known = known.unionByName(more)
-        books = known.groupBy("key", "textbook_id").agg(F.min("concept").alias("of_book"))
-        rest = open_rows.join(books, ["key", "textbook_id"], "left").withColumn("concept", F.coalesce("of_book", F.lit(0))).drop("of_book")
-        rows = known.unionByName(rest)
-    else:
-        rows = open_rows.withColumn("concept", F.lit(0))
+    books = known.groupBy("key", "textbook_id").agg(F.min("concept").alias("of_book"))
+    rest = rows.where("v is null").join(books, ["key", "textbook_id"], "left").withColumn("concept", F.coalesce("of_book", F.lit(0))).drop("of_book")
+    rows = known.unionByName(rest)
     rows = cut(rows.drop("v").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     parts = cut(rows.groupBy("key", "block").applyInArrow(_per_block(foreign, False, dim), _OUT))
     heads = ["key", "concept"]

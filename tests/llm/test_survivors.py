@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pytest
 from conftest import by_hand
 
@@ -93,3 +96,15 @@ def test_copies_of_one_name_make_no_clause_common(spark):
     rows = [node(f"n{i:03}", SHORT, vector=None) for i in range(60)] + [node("n999", FULL)] + [node(f"m{i}", f"第{i}种概念说明了不同的事情和条件。" + chatter, name=f"概念{'甲乙丙丁戊己庚辛'[i]}") for i in range(8)]
     assert s.common_clauses(frame(spark, rows).drop("key").withColumnRenamed("name", "key")) == [chatter[:-1]]
     assert found(spark, rows) == [("n000", "n999", 61)]
+
+
+def test_concepts_of_a_large_group_are_components_as_in_a_small_one(spark, monkeypatch):
+    monkeypatch.setattr(s, "VECTORS", 4)
+    # two fans of vectors, each linked from neighbour to neighbour only, and a single one
+    fan = lambda a, b, n: [[math.cos(k) if i == a else math.sin(k) if i == b else 0.0 for i in range(5)] for k in np.linspace(0, 2.8, n)]
+    vectors = [*fan(0, 1, 9), *fan(2, 3, 7), [0.0, 0.0, 0.0, 0.0, 1.0]]
+    rows = [node(f"n{(7 * i) % 17:02}", FULL, vector=v) for i, v in enumerate(vectors)]
+    want = found(spark, rows, block=1000)
+    assert sorted(n for _, _, n in want) == [7, 9]
+    assert found(spark, rows, block=4) == want
+    assert found(spark, rows * 2, block=4) == want
