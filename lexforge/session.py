@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import pathlib
+import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,7 @@ def build_session(cpus: int | str = "*", app: str = "lexforge", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LEXFORGE_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -30,13 +34,20 @@ def build_session(cpus: int | str = "*", app: str = "lexforge", **conf: str) ->
     return spark
 
 
+def _local_folder(prefix: str) -> str:
+    """A folder of this process, gone with it."""
+    path = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors, once for each context, so that they needn't have it installed."""
     context = spark.sparkContext
     if getattr(context, "_lexforge_shipped", False):
         return
     root = pathlib.Path(__file__).resolve().parent
-    archive = pathlib.Path(tempfile.mkdtemp(prefix="lexforge-")) / "lexforge.zip"  # read by the driver only, which serves it
+    archive = pathlib.Path(_local_folder("lexforge-")) / "lexforge.zip"  # read by the driver only, which serves it
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, f"{root.name}/{path.relative_to(root)}")
@@ -61,7 +72,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if not context.master.startswith("local[") and context.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="lexforge-cut-"))
+    context.setCheckpointDir(_local_folder("lexforge-cut-"))
 
 
 def cut_counted(frame: DataFrame) -> tuple[DataFrame, int]:
@@ -79,7 +90,46 @@ def cut(frame: DataFrame) -> DataFrame:
     the frame is made anew from the rows, and adaptive execution measures real sizes.
     """
     spark = frame.sparkSession
+    ship(spark)
     ensure_checkpoint_dir(spark)
     kept = frame._jdf.checkpoint(True)
     fresh = spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False)
     return DataFrame(fresh, spark)
+
+
+def _scratch(spark: SparkSession) -> str:
+    """This application's folder below the checkpoint folder; it is removed when the process ends."""
+    ship(spark)
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext
+    if not hasattr(context, "_lexforge_scratch"):
+        path = f"{context._jsc.sc().getCheckpointDir().get()}/lexforge-{uuid.uuid4().hex}"
+        context._lexforge_scratch = path
+
+        def remove() -> None:
+            if context._jsc is not None:
+                folder = context._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+        stop = context.stop
+
+        def stop_clean() -> None:
+            try:
+                remove()
+            except Exception:  # noqa: BLE001 - the folder may be gone, and stopping goes on
+                pass
+            stop()
+
+        context.stop = stop_clean
+    return context._lexforge_scratch
+
+
+def keep(frame: DataFrame) -> DataFrame:
+    """Write the rows as a table of columns to the checkpoint folder and go on from it.
+
+    Like cut(), for wide tables that are read several times by few columns each.
+    """
+    spark = frame.sparkSession
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
