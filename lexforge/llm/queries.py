@@ -49,10 +49,11 @@ def p2_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeated.without_lines(texts, keys).select(F.col("source").alias("textbook_id"), F.col("doc_no").alias("ord"), F.col("text").alias("content"))
 
 
-def scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Chapters of books whose filename ends in pdf, and the books."""
+def scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chapters of books whose filename ends in pdf, the books, and the other chapters."""
     books = table(spark, d, "textbooks").where(F.lower("filename").endswith("pdf"))
-    return table(spark, d, "chapters").join(books.select("textbook_id").distinct(), "textbook_id", "left_semi"), books
+    ids, chapters = books.select("textbook_id").distinct(), table(spark, d, "chapters")
+    return chapters.join(ids, "textbook_id", "left_semi"), books, chapters.join(ids, "textbook_id", "left_anti")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
