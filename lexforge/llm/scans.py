@@ -43,8 +43,10 @@ PLACES, EXPLAINED, UNEVEN = 10, 0.8, 4.0
 USUAL_SHARE = 0.05
 #: Letters from which on a row of letters is no word, and stands as it is.
 LONGEST_WORD = 256
-#: Most rows of a table of books that is sent to every executor.
+#: Most rows of a table of books that are sent to every executor.
 SENT_ROWS = 20_000
+#: The same for pieces of the names of books and of running lines.
+SENT_PIECES = 200_000
 #: Repetitions that a running line has at least, the share of them at edges, and how near an edge is.
 REPEATS_LEAST, EDGE_SHARE, NEAR = 3, 0.8, 2
 #: Odds (their logarithm) against a line of the text lying at edges so often by chance.
@@ -69,11 +71,20 @@ _DIGITS = str.maketrans("lio!|szb", "11011526")
 #: Letters of a page number in any style, at most.
 _PAGE_LETTERS = 14
 _SIGNS = "-—–·•[]|~.*"
+_SMALL = re.compile("[a-z]+")
+#: A number before or behind a line.
+_BESIDE = re.compile(r"^(\d{1,5})\s|\s(\d{1,5})$")
+
+
+_WIDE = re.compile("[\uff00-\uffef]")
 
 
 def letters(text: str) -> str:
-    """The letters of a line in lower case."""
-    return "".join(_LETTERS.findall(text.translate(_WIDTH).lower()))
+    """The letters of a line in lower case and usual width."""
+    key = "".join(_LETTERS.findall(text))
+    if not key.isascii() and _WIDE.search(key):
+        key = "".join(_LETTERS.findall(key.translate(_WIDTH)))
+    return key.lower()
 
 
 def _roman(s: str) -> int | None:
@@ -256,21 +267,30 @@ def edges_of(c: Chapter) -> Edges:
     told = {x.place for x in numbers}
     top = len(keys) - 1
     titles, running, anchors = set(), set(told), set(told) | {0, top}
-    heads = [h for h in c.heads if h != c.title]
+    heads = [h for h in c.heads if h]
+    # which lengths may be like which head
+    fits: dict[int, list[str]] = {}
+    for h in heads:
+        for n in range(int(0.8 * len(h)), int(1.25 * len(h)) + 2):
+            fits.setdefault(n, []).append(h)
+    latin = {h: bool(_SMALL.search(h)) for h in heads}
     for k, key in enumerate(keys):
         if k in told or not key:
             continue
-        plain = re.sub("[a-z]", "", key)
-        forms = [key] if plain == key or not plain else [key, plain]
-        if c.title and any(_may_be(f, c.title) and alike(f, c.title) for f in forms if f == key or not re.search("[a-z]", c.title)):
-            titles.add(k)
-            anchors.add(k)
-            running.add(k)
-        elif any(_may_be(f, h) and alike(f, h) for h in heads for f in forms if f == key or not re.search("[a-z]", h)):
+        like = {h for h in fits.get(len(key), ()) if _may_be(key, h) and alike(key, h)}
+        if not like and not key.isascii() and _SMALL.search(key):
+            # letters in a Chinese line may be digits
+            plain = _SMALL.sub("", key)
+            like = {h for h in fits.get(len(plain), ()) if not latin[h] and _may_be(plain, h) and alike(plain, h)}
+        if like:
             anchors.add(k)
             running.add(k)
-        elif c.first is not None and c.last is not None and (m := re.search(r"^\s*(\d{1,5})\s|\s(\d{1,5})\s*$", c.lines[c.filled[k]].translate(_WIDTH))) and c.first <= int(m[1] or m[2]) <= c.last:
-            anchors.add(k)
+            if c.title in like:
+                titles.add(k)
+        elif c.first is not None and c.last is not None:
+            line = c.lines[c.filled[k]].strip()
+            if (line[0].isdecimal() or line[-1].isdecimal()) and (m := _BESIDE.search(line)) and c.first <= int(m[1] or m[2]) <= c.last:
+                anchors.add(k)
     near: dict[int, list[tuple[str, bool]]] = {}
     beside: set[int] = set()
     places = np.array(sorted(anchors))
@@ -289,21 +309,20 @@ def edges_of(c: Chapter) -> Edges:
                     forms.append((rest, True))
                     break
         # letters in a Chinese line may be digits
-        plain = [re.sub("[a-z]", "", f) for f, _ in forms]
-        forms += [(p, False) for p, (f, _) in zip(plain, forms, strict=True) if p != f and len(p) >= 4]
+        plain = [_SMALL.sub("", f) for f, _ in forms] if not key.isascii() else []
+        forms += [(p, False) for p, (f, _) in zip(plain, forms, strict=False) if p != f and len(p) >= 4]
         near[k] = forms
     return Edges(numbers, titles, near, beside, keys)
 
 
-def furniture(c: Chapter, running: set[int], styles: frozenset[str] = frozenset(), edges: Edges | None = None) -> list[bool]:
-    """For each line whether it is a page number, running head or notice; ``running`` has the lines that repeat in the book."""
-    e = edges or edges_of(c)
-    gone = {x.place for x in sequence(e.numbers, len(c.filled), c.first is not None and c.last is not None, styles)}
+def furniture(c: Chapter, told: Told) -> list[bool]:
+    """For each line whether it is a page number, running head or notice."""
+    gone = {x.place for x in sequence(told.numbers, len(c.filled), c.first is not None and c.last is not None, told.styles)}
     out, started = [False] * len(c.lines), False
     for k, i in enumerate(c.filled):
-        if k in gone or i in running:
+        if k in gone or i in told.running:
             out[i] = True
-        elif k in e.titles:
+        elif k in told.titles:
             # the chapter's own heading at its start stays, unless it has a page number
             out[i] = started or _ends_in_page(c.lines[i].strip(), c)
             started = True
@@ -365,21 +384,22 @@ def parts_at(line: str, follows: str) -> tuple[str, str] | None:
 _FIRST = pa.schema(
     [
         ("row_key", pa.int64()), ("textbook_id", pa.string()),
+        ("numbers", pa.list_(pa.struct([("place", pa.int32()), ("page", pa.int32()), ("style", pa.string())]))), ("titles", pa.list_(pa.int32())),
         ("near", pa.list_(pa.struct([("line", pa.int32()), ("key", pa.string()), ("counts", pa.bool_()), ("beside", pa.bool_())]))),
         ("styles", pa.list_(pa.string())), ("body", pa.list_(pa.int64())), ("words", pa.list_(pa.string())),
         ("parts", pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())]))),
         ("word", pa.string()), ("gram", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()),
     ]
 )
-_FIRST_DDL = "row_key long, textbook_id string, near array<struct<line: int, key: string, counts: boolean, beside: boolean>>, styles array<string>, body array<long>, words array<string>, parts array<struct<a: string, b: string>>, word string, gram long, bucket long, n long"
+_FIRST_DDL = "row_key long, textbook_id string, numbers array<struct<place: int, page: int, style: string>>, titles array<int>, near array<struct<line: int, key: string, counts: boolean, beside: boolean>>, styles array<string>, body array<long>, words array<string>, parts array<struct<a: string, b: string>>, word string, gram long, bucket long, n long"
 
 
 def _hashes(keys: list[str]) -> list[int]:
     return pd.util.hash_array(np.array(keys, object), categorize=False).astype(np.int64).tolist() if keys else []
 
 
-def _about(row: dict) -> dict:
-    """What the first pass keeps of a scanned chapter."""
+def _about(row: dict, found: list[list[str]]) -> dict:
+    """What the first pass keeps of a scanned chapter; ``found`` has the words of every line."""
     c = chapter_of(row)
     e = edges_of(c)
     loose = {x.place for x in e.numbers} | e.titles | e.near.keys()
@@ -387,7 +407,7 @@ def _about(row: dict) -> dict:
     words, parts = set(), set()
     for k, i in enumerate(c.filled):
         line = c.lines[i].strip()
-        words.update(w for _, w in words_of(line))
+        words.update(found[i])
         if line[-1] in CUTS:
             # what goes on may stand behind running lines
             for at in range(k + 1, len(c.filled)):
@@ -400,7 +420,7 @@ def _about(row: dict) -> dict:
         words.update((a + b, f"{a}-{b}"))
     body = {key for k, key in enumerate(e.keys) if len(key) >= 4 and k not in e.near and k not in e.titles}
     return {
-        "row_key": row["row_key"], "textbook_id": c.book, "near": [{"line": c.filled[k], "key": key, "counts": n, "beside": k in e.beside} for k, forms in e.near.items() for key, n in forms],
+        "row_key": row["row_key"], "textbook_id": c.book, "numbers": [{"place": x.place, "page": x.page, "style": x.style} for x in e.numbers], "titles": sorted(e.titles), "near": [{"line": c.filled[k], "key": key, "counts": n, "beside": k in e.beside} for k, forms in e.near.items() for key, n in forms],
         "styles": [x.style for x in chain], "body": _hashes(sorted(body)), "words": sorted(words), "parts": [{"a": a, "b": b} for a, b in sorted(parts)],
     }
 
@@ -414,10 +434,11 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             text = row["content"] or ""
             texts.append(text)
-            for ln in text.split("\n"):
-                words.update(w for _, w in words_of(ln)[1:-1])
+            found = [[w for _, w in words_of(ln)] for ln in text.split("\n")]
+            for line in found:
+                words.update(line[1:-1])
             if row["scanned"]:
-                out.append(_about(row))
+                out.append(_about(row, found))
         code = _codes("\n".join(texts))
         if len(code) > 2:
             han = _is_han(code)
@@ -459,8 +480,14 @@ class Corpus:
 
 @dataclass
 class Told:
-    """What the corpus tells one chapter: running lines, styles of page numbers, readings of words, and which words are cut."""
+    """What the first pass and the corpus tell of one chapter.
+
+    numbers and titles: as in Edges. running: lines that repeat in the book. styles: of
+    the book's page numbers. readings: of misread words. cuts: parts that are one word.
+    """
 
+    numbers: list[Number] = field(default_factory=list)
+    titles: set[int] = field(default_factory=set)
     running: set[int] = field(default_factory=set)
     styles: frozenset[str] = frozenset()
     readings: dict[str, str] = field(default_factory=dict)
@@ -506,7 +533,7 @@ def _join(lines: list[tuple[int, str]], told: Told) -> tuple[str, list[int], lis
 
 
 def lines_with_kinds(c: Chapter, told: Told, corpus: Corpus) -> list[tuple[int, str]]:
-    gone = furniture(c, told.running, told.styles)
+    gone = furniture(c, told)
     out = [(i, "furniture") for i, g in enumerate(gone) if g]
     text = [(i, c.lines[i]) for i in c.filled if not gone[i]]
     joined, owner, cuts = _join(text, told)
@@ -523,7 +550,7 @@ def lines_with_kinds(c: Chapter, told: Told, corpus: Corpus) -> list[tuple[int,
 
 def restored(c: Chapter, told: Told, corpus: Corpus) -> str:
     """The chapter's paragraphs, each on a line of its own."""
-    gone = furniture(c, told.running, told.styles)
+    gone = furniture(c, told)
     text = [(i, ln) for i, ln in enumerate(c.lines) if not gone[i]]
     widths = sorted(len(ln.strip()) for _, ln in text if ln.strip())
     usual = widths[int(0.9 * (len(widths) - 1))] if widths else 0
@@ -564,9 +591,9 @@ def restored(c: Chapter, told: Told, corpus: Corpus) -> str:
     return "\n".join(out)
 
 
-def _sent(small: DataFrame) -> DataFrame:
-    """Broadcast a table of books if it has few rows, or else leave the join to a shuffle."""
-    return F.broadcast(small) if small.count() <= SENT_ROWS else small
+def _sent(small: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """Broadcast a table if it has few rows, or else leave the join to a shuffle."""
+    return F.broadcast(small) if small.count() <= most else small
 
 
 def confusions(words: DataFrame) -> dict[str, list[str]]:
@@ -764,8 +791,9 @@ def running_lines(first: DataFrame, about: DataFrame) -> DataFrame:
 
     keys = near.select("textbook_id", "key").distinct().select("textbook_id", "key", F.explode(pieces("key")).alias("piece"))
     long = lambda a, b: F.abs(F.length(a) - F.length(b)) <= 0.2 * F.greatest(F.length(a), F.length(b)) + 1e-9
-    by_book = keys.join(scoped.select("textbook_id", "seed", F.explode(pieces("seed")).alias("piece")), ["textbook_id", "piece"])
-    by_all = keys.join(wide.select("seed", F.explode(pieces("seed")).alias("piece")), "piece")
+    of_books = cut(scoped.select("textbook_id", "seed", F.explode(pieces("seed")).alias("piece")))
+    by_book = keys.join(_sent(of_books, SENT_PIECES), ["textbook_id", "piece"])
+    by_all = keys.join(_sent(cut(wide.select("seed", F.explode(pieces("seed")).alias("piece"))), SENT_PIECES), "piece")
     pairs = by_book.select("textbook_id", "key", "seed").unionByName(by_all.select("textbook_id", "key", "seed")).where(long("key", "seed")).distinct()
     found = pairs.where((F.col("key") == F.col("seed")) | same("key", "seed")).select("textbook_id", "key").distinct()
     return near.join(found, ["textbook_id", "key"]).select("row_key", "line").distinct()
@@ -815,12 +843,12 @@ def prepare(chapters: DataFrame, books: DataFrame, others: DataFrame | None = No
     said = said.unionByName(parts.join(cuts, ["a", "b"]).select("row_key", none("int").alias("line"), F.col("a").alias("x"), F.col("b").alias("y"), F.lit(2).alias("k")))
     texts = lambda k: F.collect_list(F.when(F.col("k") == k, F.struct("x", "y")))
     told = said.groupBy("row_key").agg(F.collect_set("line").alias("running"), texts(1).alias("readings"), texts(2).alias("cuts"))
-    rows = rows.join(told, "row_key", "left").join(_sent(cut(styles)), "textbook_id", "left")
+    rows = rows.join(own.select("row_key", "numbers", "titles"), "row_key").join(told, "row_key", "left").join(_sent(cut(styles)), "textbook_id", "left")
     return rows, Corpus(pairs, looks)
 
 
 def _told(row: dict) -> Told:
-    return Told(set(row["running"] or ()), frozenset(row["styles"] or ()), {r["x"]: r["y"] for r in row["readings"] or ()}, {(r["x"], r["y"]) for r in row["cuts"] or ()})
+    return Told([Number(x["place"], x["page"], x["style"]) for x in row["numbers"]], set(row["titles"]), set(row["running"] or ()), frozenset(row["styles"] or ()), {r["x"]: r["y"] for r in row["readings"] or ()}, {(r["x"], r["y"]) for r in row["cuts"] or ()})
 
 
 def _send(rows: DataFrame, corpus: Corpus, each: Callable, schema: str, names: list[str]) -> DataFrame:
