@@ -142,6 +142,11 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.describe(table(spark, d, "documents"))
 
 
+def p10_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """The learnt types of documents against those that raters gave."""
+    return quality.agreement(quality.describe(table(spark, d, "documents")), table(spark, d, "doc_labels"))
+
+
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_cleaned, p4_found, p4_restored, p5_found, p7_found, p7_neighbours, p8_packing, p8_report, p9_mixture, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_cleaned, p4_found, p4_restored, p5_found, p7_found, p7_neighbours, p8_packing, p8_report, p9_mixture, p9_shares, p10_found, p10_statistics, p10_agreement)}

@@ -64,13 +64,36 @@ def test_very_long_repeated_and_no_rows(spark):
 
 
 def test_learning_finds_planted_accuracies():
+    """Rates that differ from those it starts from come out for every kind, those of one in a hundred too."""
     rng = np.random.default_rng(0)
-    theta = np.array([r[2] for r in q.RULES])
-    kind = rng.choice(6, 20_000, p=[0.7, 0.1, 0.08, 0.06, 0.03, 0.03])
-    fires = rng.random((20_000, len(q.RULES))) < theta[:, kind].T
+    start = np.array([r[2] for r in q.RULES])
+    theta = np.clip(start + np.where(start < 0.5, 1, -1) * rng.uniform(0.02, 0.09, start.shape), 0.01, 0.99)
+    share = [0.75, 0.05, 0.04, 0.05, 0.03, 0.03, 0.04, 0.01]
+    kind = rng.choice(len(q.KINDS), 200_000, p=share)
+    fires = rng.random((len(kind), len(q.RULES))) < theta[:, kind].T
     patterns, counts = np.unique((fires * (1 << np.arange(len(q.RULES)))).sum(1), return_counts=True)
-    share, learnt = q.learn(patterns, counts.astype(float))
-    assert abs(share[0] - 0.7) < 0.05 and np.abs(learnt[:, 0] - theta[:, 0]).max() < 0.05
+    found, learnt = q.learn(patterns, counts.astype(float))
+    assert np.abs(found - share).max() < 0.01
+    assert np.abs(learnt - theta).max() < 0.05 and np.abs(start - theta).max() > 0.08
+
+
+def test_letters_of_all_scripts_and_whole_words():
+    texts = ["Это предложение о линейных операторах.", "Voilà une phrase très française, déjà vérifiée.", "これは日本語の文章です。", "이것은 문장입니다.", "𠀀𠀁是字。"]
+    got = q.statistics(texts, np.zeros(2 * q.BUCKETS, bool))
+    assert (got["symbol_share"] == 0).all()
+    assert got["n_words"].tolist() == [5, 7, 11, 2, 4]
+    assert got["listed_share"][0] == 0 and got["listed_share"][1] > 0.8 and got["listed_share"][3] == 0
+    # words that differ only far behind
+    long = ["a" * 300 + "b", "a" * 300 + "c"]
+    assert q.word_hash(long[0]) != q.word_hash(long[1]) and q.word_hash("ПРИВЕТ") == q.word_hash("привет")
+    for w in (*long, "слово", "the"):
+        assert q.Points([w]).words()[1].tolist() == [q.word_hash(w)]
+
+
+def test_agreement_with_raters(spark):
+    said = spark.createDataFrame([(1, "prose"), (1, "prose"), (2, "list"), (3, "junk")], "doc_id long, text_type string")
+    labels = spark.createDataFrame([(1, " Prose", "a"), (1, "prose", "a"), (1, "prose", "b"), (2, "TABLE", "a"), (3, None, "a"), (9, "junk", "a")], "doc_id long, kind string, rater string")
+    assert by_hand(q.agreement(said, labels)) == [("prose", "prose", 2), ("table", "list", 1)]
 
 
 def test_long_texts_that_repeat_a_phrase_have_a_small_share_of_distinct_windows():
