@@ -33,20 +33,26 @@ def book_texts(spark: SparkSession, d: str, pdf: bool) -> DataFrame:
     return table(spark, d, "chapters").join(books, "textbook_id", "left_semi").select(F.col("textbook_id").alias("source"), F.col("ord").alias("doc_no"), F.col("content").alias("text"))
 
 
+def deliveries(texts: DataFrame, count: int = 2) -> list[DataFrame]:
+    """All documents, as so many deliveries that come one after the other."""
+    which = F.pmod(F.xxhash64("source", "doc_no"), F.lit(count))
+    return [texts.where(which == k) for k in range(count)]
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Lines whose wording stands in at least a quarter of a book's chapters."""
-    texts = book_texts(spark, d, pdf=False)
-    _, crossed = repeated.update(repeated.no_lines(texts), texts)
-    keys = crossed.where("now_repeated").select("source", "line_key")
-    return repeated.found_lines(texts, keys).select(F.col("source").alias("textbook_id"), F.col("doc_no").alias("ord"), "line_no")
+    """Lines whose wording stands in at least a quarter of a book's chapters, after two deliveries."""
+    state = None
+    for batch in deliveries(book_texts(spark, d, pdf=False)):
+        state = repeated.add_batch(state, batch, clean=False)
+    return repeated.found_lines(state.documents, state.keys, state.lines).select(F.col("source").alias("textbook_id"), F.col("doc_no").alias("ord"), "line_no")
 
 
 def p2_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    """The chapters without those lines."""
-    texts = book_texts(spark, d, pdf=False)
-    _, crossed = repeated.update(repeated.no_lines(texts), texts)
-    keys = crossed.where("now_repeated").select("source", "line_key")
-    return repeated.without_lines(texts, keys).select(F.col("source").alias("textbook_id"), F.col("doc_no").alias("ord"), F.col("text").alias("content"))
+    """The chapters without those lines, after two deliveries."""
+    state = None
+    for batch in deliveries(book_texts(spark, d, pdf=False)):
+        state = repeated.add_batch(state, batch)
+    return state.texts.select(F.col("source").alias("textbook_id"), F.col("doc_no").alias("ord"), F.col("text").alias("content"))
 
 
 def scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,4 +1,5 @@
 from conftest import by_hand
+from pyspark.sql import functions as F
 
 from lexforge.llm import repeated as r
 
@@ -39,12 +40,37 @@ def test_batches_give_what_one_run_gives(spark, tmp_path):
     r.save(first, str(tmp_path / "t"))
     then, crossed = r.update(r.load(spark, str(tmp_path / "t")), docs(spark, two))
     whole = r.count_lines(docs(spark, one + two))
-    assert by_hand(then.lines) == by_hand(whole.lines) and by_hand(then.sources) == by_hand(whole.sources)
+    for name in ("lines", "sources", "holders", "known"):
+        assert by_hand(getattr(then, name)) == by_hand(getattr(whole, name))
     # note fell below a quarter, new rose to a third, and only documents with them are built anew
-    touched = by_hand(r.documents_to_rebuild(docs(spark, one + two), crossed))
+    touched = by_hand(r.documents_to_rebuild(then.holders, crossed))
     assert ("b", 3) in touched and ("a", 0) in touched and ("b", 1) not in touched
 
 
+def test_documents_that_come_again_count_once(spark):
+    one = [("a", i, f"note\nwords {chr(97 + i)}") for i in range(3)] + [("a", i, f"words {chr(97 + i)}") for i in range(3, 9)]
+    two = [*one[:4], ("a", 9, "words x"), ("a", 0, "another delivery of it"), ("a", 10, None)]
+    state = r.add_batch(r.add_batch(r.add_batch(None, docs(spark, one)), docs(spark, two)), docs(spark, two))
+    whole = r.count_lines(docs(spark, one + two))
+    assert by_hand(state.tables.lines) == by_hand(whole.lines) and by_hand(state.tables.sources) == by_hand(whole.sources) == [("a", 11)]
+    assert by_hand(state.keys) == by_hand(r.repeated(whole))
+
+
+def test_two_deltas_clean_as_a_full_run_and_build_only_what_changed(spark):
+    one = [("a", i, f"note\nold words {chr(97 + i)}") for i in range(4)] + [("b", 1, "q\nb one"), ("b", 2, "q\nb two")]
+    two = [("a", i, f"own words {chr(97 + i)}\nlate") for i in range(4, 20)]
+    three = [("b", 3, None), ("c", 1, "z\ny"), ("a", 20, "late\nlast")]
+    state, sizes = None, []
+    for rows in (one, two, three):
+        state = r.add_batch(state, docs(spark, rows))
+        sizes.append(by_hand(state.touched))
+    full = docs(spark, one + two + three)
+    assert by_hand(state.texts.select("source", "doc_no", F.coalesce("text", F.lit("<null>")))) == by_hand(r.without_lines(full, r.repeated(r.count_lines(full))).select("source", "doc_no", F.coalesce("text", F.lit("<null>"))))
+    # the second batch brings note back into the first documents of a, and leaves b alone; the third touches its own only
+    assert sizes[1] == [("a", i) for i in range(20)]
+    assert sizes[2] == [("a", 20), ("b", 3), ("c", 1)]
+
+
 def test_cleaning(spark):
     d = docs(spark, [("a", 1, "note\nbody\n"), ("a", 2, "note"), ("a", 3, None), *[("a", i, f"t{chr(97 + i)}") for i in range(4, 9)]])
     keys = r.repeated(r.count_lines(d))
