@@ -3,25 +3,29 @@
 Every document gets a rate, its expected number of copies. Of all rates below the cap
 those are wanted that give each source its tokens and are otherwise as even as
 possible. The dual of this convex problem has one multiplier for each source of a
-mix; Newton steps find them from sums over all documents, and the odds of a document
-come out tilted exponentially by its length. Rates are rounded to copies by a
-threshold that is common to a source and makes its tokens come out right.
+mix; Newton steps find them, and the odds of a document come out tilted exponentially
+by its length. A rate depends on nothing but source and length, so the steps run on the
+counts of documents by length, each source in a task of its own. Rates are rounded to
+copies by a threshold that is common to a source and makes its tokens come out right.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import strip
-from lexforge.session import cut
+from lexforge.session import cut, keep
 
 #: Newton steps at most, and the relative error at which a source is done.
-STEPS, ENOUGH = 40, 1e-6
+STEPS, ENOUGH = 100, 1e-6
 #: Thresholds tried at once, and passes over them.
-TRIES, PASSES = 16, 4
+TRIES, PASSES = 4096, 2
 
 
 def source_key(source: Column) -> Column:
@@ -32,7 +36,7 @@ def source_key(source: Column) -> Column:
 
 @dataclass
 class State:
-    """A source of a mix: wanted tokens, cap, tilt and its bracket, threshold shift and its bracket."""
+    """A source of a mix: wanted tokens, cap, tilt and threshold shift."""
 
     mix: str
     source: str
@@ -42,18 +46,16 @@ class State:
     docs: int
     wanted: float = 0.0
     tilt: float = 0.0
-    low: float = -400.0
-    high: float = 400.0
     shift: float = 0.0
     done: bool = False
 
 
-_SENT = "mix string, source string, cap double, mean double, tilt double, shift double, lo double, step double"
+_SENT = "mix string, source string, cap double, mean double, tilt double, shift double, lo double, step double, wanted double"
 
 
 def _send(frame: DataFrame, states: list[State], lo: dict | None = None, step: float = 0.0) -> DataFrame:
     """The states, no more rows than target rows, beside the documents of their source."""
-    rows = [(s.mix, s.source, float(s.cap), s.held / max(s.docs, 1), s.tilt, s.shift, (lo or {}).get((s.mix, s.source), 0.0), step) for s in states]
+    rows = [(s.mix, s.source, float(s.cap), s.held / max(s.docs, 1), s.tilt, s.shift, (lo or {}).get((s.mix, s.source), 0.0), step, s.wanted) for s in states]
     small = frame.sparkSession.createDataFrame(rows, _SENT)
     return frame.join(F.broadcast(small), "source")
 
@@ -72,21 +74,23 @@ def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
     source add up. The total is the largest at which no source needs more than
     max_repeats of what it holds; a source without tokens can't have its share, and the
     others keep their proportions. Documents without source or tokens aren't drawn.
-    Null shares and repeats count as none. Empty tables give an empty result.
+    Null shares and repeats count as none. Empty tables give an empty result. A source
+    whose multiplier can't be found raises an error.
     """
-    docs = cut(documents.where("n_tokens > 0").select("doc_id", source_key(F.col("source")).alias("source"), F.col("n_tokens").cast("double").alias("n_tokens")).where("source is not null"))
-    states = _states(docs, targets)
-    _balance(docs, states)
+    docs = keep(documents.where("n_tokens > 0").select("doc_id", source_key(F.col("source")).alias("source"), F.col("n_tokens").cast("double").alias("n_tokens")).where("source is not null"))
+    lengths = cut(docs.groupBy("source", "n_tokens").agg(F.count("*").alias("docs")))
+    states = _states(lengths, targets)
+    _balance(lengths, states)
     _round(docs, states)
     live = [s for s in states if s.wanted > 0]
     drawn = _send(docs, live).withColumn("copies", _copies(F.col("shift")))
     return drawn.where("copies > 0").select("mix", "source", "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "copies")
 
 
-def _states(docs: DataFrame, targets: DataFrame) -> list[State]:
+def _states(lengths: DataFrame, targets: DataFrame) -> list[State]:
     wanted: list[Row] = targets.where("mix is not null").groupBy("mix", source_key(F.col("source")).alias("source")).agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("cap")).collect()
     names = {w.source for w in wanted}
-    held = {r.source: (r.held, r.docs) for r in docs.where(F.col("source").isin([n for n in names if n])).groupBy("source").agg(F.sum("n_tokens").alias("held"), F.count("*").alias("docs")).collect()}
+    held = {r.source: (r.held, r.docs) for r in lengths.where(F.col("source").isin([n for n in names if n])).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("held"), F.sum("docs").alias("docs")).collect()}
     states = [State(w.mix, w.source, w.share, w.cap, *held.get(w.source, (0, 0))) for w in wanted]
     for name in {s.mix for s in states}:
         own = [s for s in states if s.mix == name and s.share > 0 and s.cap > 0 and s.held > 0]
@@ -96,58 +100,99 @@ def _states(docs: DataFrame, targets: DataFrame) -> list[State]:
     return states
 
 
-def _balance(docs: DataFrame, states: list[State]) -> None:
-    """Newton steps on every multiplier at once; a step that leaves its bracket is replaced by halving."""
+def _newton(steps: int) -> Callable:
+    """The multiplier of one source of a mix; a step that leaves its bracket is replaced by halving."""
+
+    def run(group: pa.Table) -> pa.Table:
+        n, docs = np.asarray(group["n_tokens"]), np.asarray(group["docs"]).astype(float)
+        first = {name: group[name][0].as_py() for name in ("mix", "source", "cap", "mean", "wanted")}
+        tilt, low, high, off = 0.0, -400.0, 400.0, np.inf
+        for _ in range(steps):
+            odds = 1 / (1 + np.exp(-np.clip(tilt * n / first["mean"], -600, 600)))
+            tokens = first["cap"] * odds * n * docs
+            off = tokens.sum() - first["wanted"]
+            if abs(off) <= ENOUGH * first["wanted"]:
+                break
+            low, high = (low, tilt) if off > 0 else (tilt, high)
+            slope = (tokens * (1 - odds) * n / first["mean"]).sum()
+            step = tilt - off / slope if slope > 0 else np.nan
+            tilt = step if low < step < high else (low + high) / 2
+        return pa.table({"mix": [first["mix"]], "source": [first["source"]], "tilt": [float(tilt)], "off": [float(abs(off) / first["wanted"])]})
+
+    return run
+
+
+def _balance(lengths: DataFrame, states: list[State]) -> None:
+    """Find every multiplier."""
     for s in states:
         if s.wanted >= s.cap * s.held * (1 - 1e-9):
             s.tilt, s.done = 1e6, True
         elif s.wanted <= 0:
             s.done = True
-    for _ in range(STEPS):
-        live = [s for s in states if not s.done]
-        if not live:
-            return
-        p = _odds()
-        rate = F.col("cap") * p
-        sums = _send(docs, live).groupBy("mix", "source").agg(F.sum(rate * F.col("n_tokens")).alias("got"), F.sum(rate * (1 - p) * F.col("n_tokens") * F.col("n_tokens") / F.col("mean")).alias("slope"))
-        got = {(r.mix, r.source): r for r in sums.collect()}
-        for s in live:
-            r = got[s.mix, s.source]
-            off = r.got - s.wanted
-            if abs(off) <= ENOUGH * s.wanted:
-                s.done = True
-                continue
-            if off > 0:
-                s.high = s.tilt
-            else:
-                s.low = s.tilt
-            step = s.tilt - off / r.slope if r.slope > 0 else float("nan")
-            s.tilt = step if s.low < step < s.high else (s.low + s.high) / 2
+    live = [s for s in states if not s.done]
+    if not live:
+        return
+    found = {(r.mix, r.source): r for r in _send(lengths, live).select("mix", "source", "cap", "mean", "wanted", "n_tokens", "docs").groupBy("mix", "source").applyInArrow(_newton(STEPS), "mix string, source string, tilt double, off double").collect()}
+    for s in live:
+        r = found[s.mix, s.source]
+        if r.off > ENOUGH:
+            raise RuntimeError(f"no multiplier gives source {s.source} of mix {s.mix} its tokens: off by {r.off:.2g} of them after {STEPS} steps")
+        s.tilt, s.done = r.tilt, True
 
 
-def _copies(shift: Column) -> Column:
-    """Whole copies: the rate, a number in [0, 1) that is the document's own, and the shift, rounded down; within the cap."""
+def _at() -> Column:
+    """A document's rate and a number in [0, 1) that is its own."""
     own = (F.xxhash64("doc_id", "mix").bitwiseAND(F.lit((1 << 40) - 1))) / float(1 << 40)
-    return F.least(F.col("cap"), F.greatest(F.lit(0.0), F.floor(F.col("cap") * _odds() + own + shift))).cast("int")
+    return F.col("cap") * _odds() + own
+
+
+def _whole(x: Column) -> Column:
+    return F.least(F.col("cap"), F.greatest(F.lit(0.0), x))
+
+
+def _copies(shift: Column) -> Column:
+    """Whole copies: the rate, the document's own number, and the shift, rounded down; within the cap."""
+    return _whole(F.floor(_at() + shift)).cast("int")
+
+
+def _pick(tries: int) -> Callable:
+    """Of one source the threshold whose tokens come nearest, and the last one that doesn't exceed them."""
+
+    def run(group: pa.Table) -> pa.Table:
+        tokens = np.zeros(tries + 1)
+        np.add.at(tokens, np.asarray(group["j"]), np.asarray(group["tokens"]))
+        first = {name: group[name][0].as_py() for name in ("mix", "source", "lo", "step", "wanted")}
+        off = np.cumsum(tokens) - first["wanted"]
+        best, below = int(np.abs(off).argmin()), max(0, int(np.searchsorted(off, 0, side="right")) - 1)
+        return pa.table({"mix": [first["mix"]], "source": [first["source"]], "shift": [first["lo"] + first["step"] * best], "lo": [first["lo"] + first["step"] * below]})
+
+    return run
 
 
 def _round(docs: DataFrame, states: list[State]) -> None:
-    """For each source the shift at which its copies hold the wanted tokens, by trying many shifts in each pass."""
+    """For each source the shift at which its copies hold the wanted tokens.
+
+    A document's copies grow by one where its rate, its own number and the shift make
+    up a whole number. These places are counted in TRIES steps of the shift, for all
+    sources in one pass; the next pass looks into one step of each.
+    """
     live = [s for s in states if s.wanted > 0]
     if not live:
         return
-    lo, step = {(s.mix, s.source): -1.0 for s in live}, 2.0 / TRIES
+    lo, wide = {(s.mix, s.source): -1.0 for s in live}, 2.0
     for _ in range(PASSES):
-        tries = [F.sum(_copies(F.col("lo") + F.col("step") * k) * F.col("n_tokens")).alias(f"t{k}") for k in range(TRIES + 1)]
-        got = {(r.mix, r.source): r for r in _send(docs, live, lo, step).groupBy("mix", "source").agg(*tries).collect()}
-        for s in live:
-            key, r = (s.mix, s.source), got[s.mix, s.source]
-            off = [(r[f"t{k}"] or 0) - s.wanted for k in range(TRIES + 1)]
-            best = min(range(TRIES + 1), key=lambda k: (abs(off[k]), k))
-            s.shift = lo[key] + step * best
-            below = max((k for k in range(TRIES + 1) if off[k] <= 0), default=0)
-            lo[key] = lo[key] + step * below
-        step /= TRIES
+        step = wide / TRIES
+        at = _send(docs, live, lo, step).withColumn("x", _at()).withColumn("base", F.floor(F.col("x") + F.col("lo")))
+        grows = [F.struct(F.ceil((F.col("base") + 1 + e - F.col("x") - F.col("lo")) / F.col("step")).cast("int").alias("j"), ((_whole(F.col("base") + 1 + e) - _whole(F.col("base") + e)) * F.col("n_tokens")).alias("tokens")) for e in range(int(-(-wide // 1)))]
+        starts = F.struct(F.lit(0).alias("j"), (_whole(F.col("base")) * F.col("n_tokens")).alias("tokens"))
+        events = at.select("mix", "source", "lo", "step", "wanted", F.explode(F.array(starts, *grows)).alias("e")).select("mix", "source", "lo", "step", "wanted", F.greatest("e.j", F.lit(0)).alias("j"), "e.tokens")
+        sums = events.where((F.col("tokens") > 0) & (F.col("j") <= TRIES)).groupBy("mix", "source", "lo", "step", "wanted", "j").agg(F.sum("tokens").alias("tokens"))
+        for r in sums.groupBy("mix", "source").applyInArrow(_pick(TRIES), "mix string, source string, shift double, lo double").collect():
+            lo[r.mix, r.source] = r.lo
+            for s in live:
+                if (s.mix, s.source) == (r.mix, r.source):
+                    s.shift = r.shift
+        wide = step
 
 
 def shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:

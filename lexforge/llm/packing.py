@@ -172,19 +172,20 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
 
     placed = rest.withColumn("bucket", bucket_of("n_tokens"))
     placed = cut(placed.withColumn("split", F.pmod(F.xxhash64("doc_id"), splits_of("bucket")).cast("int")))
-    sizes = {(r[0], r[1]): r[2] for r in placed.groupBy("bucket", "split").count().collect()}  # items / RANKED + buckets rows
-    offset = {}
-    for b in range(len(bounds)):
-        at = 0
-        for k in range(int(splits[b])):
-            offset[b, k] = at
-            at += sizes.get((b, k), 0)
+    # items / RANKED + buckets rows
+    first_split = np.concatenate([[0], np.cumsum(splits)[:-1]])
+    sizes = np.zeros(int(splits.sum()), np.int64)
+    for r in placed.groupBy("bucket", "split").count().collect():
+        sizes[first_split[r[0]] + r[1]] = r[2]
+    before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    offset = before - np.repeat(before[first_split], splits)
     ranked = placed.withColumn("row", F.row_number().over(Window.partitionBy("bucket", "split").orderBy("doc_id")) - 1)
 
     @F.pandas_udf("long")
     def container_of(bucket: pd.Series, split: pd.Series, row: pd.Series) -> pd.Series:
         out = np.empty(len(bucket), np.int64)
-        b, rank = bucket.to_numpy(), row.to_numpy() + np.array([offset[x] for x in zip(bucket, split, strict=True)], np.int64)
+        b = bucket.to_numpy()
+        rank = row.to_numpy() + offset[first_split[b] + split.to_numpy()]
         for x in np.unique(b):
             own = b == x
             seg = np.searchsorted(plan.starts[x], rank[own], side="right") - 1

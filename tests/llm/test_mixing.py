@@ -1,6 +1,8 @@
 import random
 
+import pytest
 from conftest import by_hand
+from pyspark.sql import functions as F
 
 from lexforge.llm import mixing as m
 
@@ -55,3 +57,16 @@ def test_hot_source(spark):
     rows = [(i, "hot", 100) for i in range(9000)] + [(i, "cold", 100) for i in range(9000, 9100)]
     _, got = run(spark, rows, [("x", "hot", 0.9, 1), ("x", "cold", 0.1, 2)])
     assert abs(got["x", "hot"].actual_share - 0.9) < 0.005
+
+
+def test_multipliers_that_are_not_found_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(m, "STEPS", 1)
+    with pytest.raises(RuntimeError, match="no multiplier"):
+        run(spark, docs(), [("x", "big", 0.5, 1), ("x", "mid", 0.3, 3), ("x", "tiny_one", 0.2, 4)])
+
+
+def test_rounding_comes_as_near_as_the_documents_allow(spark):
+    drawn, got = run(spark, docs(), [("x", "big", 0.5, 2), ("x", "mid", 0.3, 3), ("x", "tiny_one", 0.2, 4)])
+    whole = sum(r.tokens for r in got.values())
+    largest = {r.source: r.n for r in drawn.groupBy("source").agg(F.max("n_tokens").alias("n")).collect()}
+    assert all(abs(r.tokens - r.target_share * whole) <= largest[r.source] for r in got.values())
