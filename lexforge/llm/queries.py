@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,11 +102,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar nodes of every node whose ord is divisible by 20."""
     vectors = node_vectors(spark, d)
-    index = neighbours.fit(vectors, DIM, lists=64)
-    near = neighbours.search(vectors, DIM, k=10, probes=14, asks="ord % 20 = 0", index=index)
+    # each asker travels to every list it probes, so lists grow with the root of the vectors
+    lists = max(1, round(math.sqrt(vectors.count()) / 2))
+    near = neighbours.search(vectors, DIM, k=10, asks="ord % 20 = 0", index=neighbours.fit(vectors, DIM, lists=lists))
     return near.select("id", "other", F.round("cosine", 4).alias("cosine"))
 
 
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with its class of equal embeddings, and how many others have a cosine of at least 0.90 with it."""
+    return neighbours.linked(node_vectors(spark, d), DIM, least=0.90, probes=16, margin=0.05)[0]
+
+
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     """All documents packed into containers of every kind."""
     sizes = cut(tokens.count_tokens(table(spark, d, "documents")))
@@ -155,4 +163,4 @@ def p10_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_cleaned, p4_found, p4_restored, p5_found, p7_found, p7_neighbours, p8_packing, p8_report, p9_mixture, p9_shares, p10_found, p10_statistics, p10_agreement)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_cleaned, p4_found, p4_restored, p5_found, p7_found, p7_neighbours, p7_links, p8_packing, p8_report, p9_mixture, p9_shares, p10_found, p10_statistics, p10_agreement)}

@@ -27,6 +27,9 @@ e AS (SELECT DISTINCT r, nullif(lower(trim(id, {_WS})), '') AS id FROM (SELECT r
 l AS (SELECT DISTINCT x.id AS a, y.id AS b FROM e x JOIN e y USING (r) WHERE x.id <> y.id),
 reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b)
 SELECT least(a, min(b)) AS group_id, a AS node_id FROM reach GROUP BY a""",
+    "p7_links": f"""WITH n AS (SELECT lower(trim(id, {_WS})) AS id, CAST(min(embedding) AS DOUBLE[64]) AS e FROM nodes
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND nullif(trim(id, {_WS}), '') IS NOT NULL GROUP BY 1)
+SELECT a.id, min(CASE WHEN a.e = b.e THEN b.id END) AS class_id, count(*) - 1 AS n_links FROM n a JOIN n b ON array_cosine_similarity(a.e, b.e) >= 0.90 GROUP BY a.id""",
     "p7_found": f"""WITH v AS (SELECT DISTINCT ON (id) lower(trim(id, {_WS})) AS id, CAST(embedding AS DOUBLE[64]) AS e FROM nodes
   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
 SELECT a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.id < b.id AND array_cosine_similarity(a.e, b.e) >= 0.90""",

@@ -26,7 +26,7 @@ def test_all_pairs_above_a_bound(spark, cloud):
     u = unit(cloud)
     s = np.triu(u @ u.T, 1)
     want = {(f"{a:04}", f"{b:04}") for a, b in zip(*np.nonzero(s >= 0.97), strict=True)}
-    got = {tuple(sorted((r.id, r.other))) for r in n.search(frame(spark, [f"{i:04}" for i in range(3000)], cloud), 32, least=0.97).collect()}
+    got = {tuple(sorted((r.id, r.other))) for r in n.search(frame(spark, [f"{i:04}" for i in range(3000)], cloud), 32, least=0.97, probes=4).collect()}
     assert got <= {(f"{a:04}", f"{b:04}") for a, b in zip(*np.nonzero(s >= 0.97 - 1e-4), strict=True)}
     assert len(got & want) >= 0.99 * len(want)
 
@@ -60,8 +60,8 @@ def test_a_hot_list_is_cut_into_blocks(spark, monkeypatch):
     v = np.concatenate([np.tile(rng.standard_normal(16), (200, 1)) + 0.01 * rng.standard_normal((200, 16)), rng.standard_normal((400, 16))])
     rows = frame(spark, [f"{i:03}" for i in range(600)], v)
     index = n.fit(rows, 16, list_size=60)
-    assert index.blocks.max() > 1
-    pairs = {tuple(sorted((r.id, r.other))) for r in n.search(rows, 16, least=0.99, index=index).collect()}
+    assert index.sizes.max() > 2 * n.BLOCK
+    pairs = {tuple(sorted((r.id, r.other))) for r in n.search(rows, 16, least=0.99, probes=4, index=index).collect()}
     assert sum(int(a) < 200 and int(b) < 200 for a, b in pairs) == 200 * 199 // 2
 
 
@@ -81,3 +81,34 @@ def test_copies_of_a_neighbour_or_of_the_asker_take_no_places(spark):
     vectors = [[1, 0]] * 21 + [[1, 0.01]] * 21 + [[1, 0.02], [1, 0.03], [1, 0.04], [0, 1]]
     got = sorted((r.id, r.other) for r in n.search(frame(spark, ids, vectors), 2, k=3, asks="id = 'a'").collect())
     assert got == [("a", "b"), ("a", "c"), ("a", "d")]
+
+
+def test_the_scan_starts_at_the_first_row_and_finds_what_a_full_one_finds():
+    rng = np.random.default_rng(8)
+    for size in (5, 300, 2_049, 5_000):
+        m = unit(rng.standard_normal((size, 64))).astype(np.float32)
+        q = unit(m[:20] + 0.5 * rng.standard_normal((len(m[:20]), 64))).astype(np.float32)
+        bound = n._bound(q, m, 3)
+        full = ((q[:, None] - m[None]) ** 2).sum(2)
+        i, j, _ = n._scan(q, m, bound)
+        best = set(zip(i.tolist(), j.tolist(), strict=True))
+        want = {(a, b) for a in range(len(q)) for b in np.argsort(full[a])[:3].tolist()}
+        assert len(best & want) >= 0.97 * len(want)
+
+
+def test_lists_to_probe_follow_the_vectors(spark):
+    rng = np.random.default_rng(9)
+    tight = rng.standard_normal((40, 16))[rng.integers(0, 40, 2000)] + 0.05 * rng.standard_normal((2000, 16))
+    loose = rng.standard_normal((2000, 16))
+    fits = [n.fit(frame(spark, [f"{i:04}" for i in range(2000)], v), 16, lists=40) for v in (tight, loose)]
+    assert fits[0].probes <= 3 < fits[1].probes <= len(fits[1].centres)
+
+
+def test_links_of_copies_without_their_pairs(spark):
+    ids = [f"{i:03}" for i in range(60)] + ["a", "b", "b", "c", None, "z"]
+    vectors = [[1, 0]] * 60 + [[1, 0.1], [2, 0.2], [2, 0.2], [0, 1], [1, 0], [0, 0]]
+    members, pairs = n.linked(frame(spark, ids, vectors), 2, 0.9)
+    got = {r.id: (r.class_id, r.n_links) for r in members.collect()}
+    assert got == {f"{i:03}": ("000", 61) for i in range(60)} | {"a": ("a", 61), "b": ("b", 61), "c": ("c", 0)}
+    assert sorted((r.class_a, r.class_b) for r in pairs.collect()) == [("000", "a"), ("000", "b"), ("a", "b")]
+    assert n.linked(frame(spark, [], []), 2, 0.9)[0].count() == 0
