@@ -25,7 +25,7 @@ LIST_SIZE, MOST_LISTS, SAMPLE_PER_LIST = 400, 16_384, 32
 #: Sampled vectors per coarse cell; cells are as many as the square root of the lists, so the driver holds 8,192 vectors at most.
 SAMPLE_PER_CELL = 64
 #: Share of nearest vectors of the sample that the probed lists shall hold, and sampled vectors that ask.
-WANTED, ASKERS = 0.97, 512
+WANTED, ASKERS = 0.93, 512
 #: Parts into which the copies of one vector are split.
 SPLITS = 32
 #: Most vectors of a list, and most askers, that meet in one task; larger lists are cut into such blocks.
@@ -226,10 +226,9 @@ def _meet(dim: int, least: float | None, k: int | None) -> Callable:
         if k is not None and len(fq):
             order = np.lexsort((-fc, fq))
             fq, fm, fc = fq[order], fm[order], fc[order]
-            rank = np.arange(len(fq)) - np.searchsorted(fq, fq)
             # ties with the k-th stay; the last cut over all lists decides
-            kth = fc[np.minimum(np.searchsorted(fq, fq) + k - 1, len(fq) - 1)]
-            keep = (rank < 2 * k) | (fc >= kth)
+            kth = fc[np.minimum(np.searchsorted(fq, fq) + k - 1, np.searchsorted(fq, fq, side="right") - 1)]
+            keep = fc >= kth
             fq, fm, fc = fq[keep], fm[keep], fc[keep]
         return pa.table({"id": ids.take(pa.array(fq)), "other": ids.take(pa.array(fm)), "cosine": pa.array(fc.astype("float64"))})
 
@@ -306,9 +305,8 @@ def search(vectors: DataFrame, dim: int, *, least: float | None = None, k: int |
     if k is None:
         return pairs.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     best = F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("c"), "other")))
-    # at most probes * blocks * (2 k and ties) rows an id meet here
-    once = pairs.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
-    return once.groupBy("id").agg(F.slice(best, 1, k).alias("best")).select("id", F.explode("best").alias("b")).select("id", F.col("b.other").alias("other"), (-F.col("b.c")).alias("cosine"))
+    # an id is stored once, so a pair comes out once; at most probes * blocks * (k and ties) rows an id meet here
+    return pairs.groupBy("id").agg(F.slice(best, 1, k).alias("best")).select("id", F.explode("best").alias("b")).select("id", F.col("b.other").alias("other"), (-F.col("b.c")).alias("cosine"))
 
 
 def linked(vectors: DataFrame, dim: int, least: float, **options) -> tuple[DataFrame, DataFrame]:

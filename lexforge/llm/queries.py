@@ -103,7 +103,7 @@ def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar nodes of every node whose ord is divisible by 20."""
     vectors = node_vectors(spark, d)
     # each asker travels to every list it probes, so lists grow with the root of the vectors
-    lists = max(1, round(math.sqrt(vectors.count()) / 2))
+    lists = max(1, round(math.sqrt(vectors.count()) / 6))
     near = neighbours.search(vectors, DIM, k=10, asks="ord % 20 = 0", index=neighbours.fit(vectors, DIM, lists=lists))
     return near.select("id", "other", F.round("cosine", 4).alias("cosine"))
 
