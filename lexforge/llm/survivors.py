@@ -81,18 +81,38 @@ def name_key(name: Column, repairs: dict[str, str] | None = None) -> Column:
     return run(name)
 
 
+def _gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every character of every key with a hash of what stands around it, in time linear in the length of the key."""
+    base, powers = np.uint64(0x9E3779B97F4A7C15), np.ones(1, np.uint64)
+    for batch in batches:
+        rest, chars = [], []
+        for key in batch["key"].to_pylist():
+            code = np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            while len(powers) < len(code):
+                powers = np.concatenate([powers, powers * (powers[-1] * base)])
+            part = (code + np.uint64(1)) * powers[: len(code)]
+            around = part.sum() - part
+            # the place and the length tell gaps apart that sum up alike
+            mixed = (around ^ (around >> np.uint64(31))) * base + np.arange(len(code), dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(len(code))
+            rest.append((mixed ^ (mixed >> np.uint64(29))).astype(np.int64))
+            chars.extend(key)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rest) if rest else np.empty(0, np.int64)), pa.array(chars, pa.string())], ["rest", "c"])
+
+
 def misread(keys: DataFrame, share: float = MISREAD_SHARE) -> dict[str, str]:
     """Characters that stand for another one in otherwise equal keys, and are rare beside it.
 
-    ``keys`` has key. The result is no larger than the alphabet.
+    ``keys`` has key. The result is no larger than the alphabet. In a gap only pairs of
+    a rare and a far more frequent character are made.
     """
-    once = cut(keys.where("key is not null and length(key) between 2 and 100").select("key").distinct())
-    at = once.select("key", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("i"))
-    gaps = at.select(F.xxhash64("i", F.expr("substr(key, 1, i - 1)"), F.expr("substr(key, i + 1)")).alias("rest"), F.expr("substr(key, i, 1)").alias("c"))
-    pairs = gaps.groupBy("rest").agg(F.collect_set("c").alias("cs")).where("size(cs) > 1")
-    pairs = pairs.select("cs", F.explode("cs").alias("a")).select("a", F.explode("cs").alias("b")).where("a <> b").groupBy("a", "b").count()
-    often = gaps.groupBy("c").agg(F.count("*").alias("n"))
-    rows = pairs.join(often.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").join(often.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b").where(F.col("na") <= F.col("nb") * share)
+    once = cut(keys.where("key is not null and length(key) >= 2").select("key").distinct())
+    gaps = cut(once.mapInArrow(_gaps, "rest long, c string").distinct())
+    often = cut(once.select(F.explode(F.split("key", "")).alias("c")).groupBy("c").agg(F.count("*").alias("n")))
+    filled = gaps.join(F.broadcast(often), "c").groupBy("rest").agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("cs")).where("size(cs) > 1")
+    # the most frequent one that could be meant is enough to rule a character out
+    rare = F.filter("cs", lambda x: x["n"] <= F.element_at("cs", -1)["n"] * share)
+    pairs = filled.select("cs", F.explode(rare).alias("a")).select("a", F.explode(F.filter("cs", lambda x: F.col("a.n") <= x["n"] * share)).alias("b"))
+    rows = pairs.groupBy(F.col("a.c").alias("a"), F.col("b.c").alias("b")).agg(F.count("*").alias("count"), F.max("b.n").alias("nb"))
     rows = rows.where(F.col("a").rlike(r"^\p{L}$")).groupBy("a").agg(F.max_by("b", F.struct("count", "nb", "b")).alias("b"))
     return {r.a: r.b for r in rows.collect()}
 
@@ -194,14 +214,14 @@ class Profile:
         return sum(self.columns[i].values()) if i + 1 < len(self.columns) else 0.0
 
 
-def align(a: list[str], b: str) -> list[tuple[int | None, int | None]]:
-    """Columns of two token rows: equal ends, then equal lengths, then unique shared pieces, then cells of small gaps."""
-    out: list[tuple[int | None, int | None]] = []
-    _align(a, list(b), 0, len(a), 0, len(b), out)
-    return out
+#: Cells of a table of matches that are held at once; larger gaps are halved first, with the same number of matches.
+CELLS = 40_000
 
 
-def _align(a: list[str], b: list[str], i: int, m: int, j: int, n: int, out: list) -> None:
+def align(a: list[str], b: str) -> list[tuple[int | None, int | None]]:
+    """Columns of two token rows: equal ends, then the longest common subsequence of what lies between."""
+    out: list[tuple[int | None, int | None]] = []
+    i, m, j, n = 0, len(a), 0, len(b)
     fits = lambda x, y: x == y or y == "□" or x == "□"
     while i < m and j < n and fits(a[i], b[j]):
         out.append((i, j))
@@ -210,50 +230,57 @@ def _align(a: list[str], b: list[str], i: int, m: int, j: int, n: int, out: list
     while m > i and n > j and fits(a[m - 1], b[n - 1]):
         m, n = m - 1, n - 1
         tail.append((m, n))
-    if i == m or j == n or (m - i) * (n - j) > 40_000:
-        anchors = _anchors(a, b, i, m, j, n) if i < m and j < n else []
-        if anchors:
-            for x, y, size in [*anchors, (m, n, 0)]:
-                _align(a, b, i, x, j, y, out)
-                out.extend((x + s, y + s) for s in range(size))
-                i, j = x + size, y + size
-        else:
-            out.extend((x, None) for x in range(i, m))
-            out.extend((None, y) for y in range(j, n))
+    if i < m and j < n:
+        names: dict[str, int] = {}
+        left = np.array([names.setdefault(t, len(names)) for t in a[i:m]], np.int32)
+        right = np.array([names.setdefault(t, len(names)) for t in b[j:n]], np.int32)
+        out.extend((None if x is None else i + x, None if y is None else j + y) for x, y in _common(left, right, 0, 0))
     else:
-        out.extend(_cells(a, b, i, m, j, n))
+        out.extend((x, None) for x in range(i, m))
+        out.extend((None, y) for y in range(j, n))
     out.extend(reversed(tail))
-
-
-def _anchors(a: list[str], b: list[str], i: int, m: int, j: int, n: int, size: int = 8) -> list[tuple[int, int, int]]:
-    """Pieces that stand once in either row and in the same order in both."""
-    def once(row: list[str], s: int, e: int) -> dict[str, int]:
-        pieces = ["".join(row[k : k + size]) for k in range(s, e - size + 1)]
-        count = Counter(pieces)
-        return {p: s + k for k, p in enumerate(pieces) if count[p] == 1}
-
-    left, right = once(a, i, m), once(b, j, n)
-    out, x, y = [], i, j
-    for p, at in left.items():
-        to = right.get(p)
-        if to is not None and at >= x and to >= y:
-            out.append((at, to, size))
-            x, y = at + size, to + size
     return out
 
 
-def _cells(a: list[str], b: list[str], i: int, m: int, j: int, n: int) -> list[tuple[int | None, int | None]]:
-    """Longest common subsequence of a small gap, by rows of bits of matches."""
-    w = n - j
-    best = np.zeros((m - i + 1, w + 1), np.int32)
-    right = np.array(b[j:n])
-    for x in range(m - i - 1, -1, -1):
-        gain = best[x + 1, 1:] + (right == a[i + x])
+def _lengths(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each start of the right row, matches of what follows with all of the left row."""
+    best = np.zeros(len(right) + 1, np.int32)
+    for t in left[::-1]:
+        row = best.copy()
+        np.maximum(row[:-1], best[1:] + (right == t), out=row[:-1])
+        best = np.maximum.accumulate(row[::-1])[::-1]
+    return best
+
+
+def _common(left: np.ndarray, right: np.ndarray, i: int, j: int) -> list[tuple[int | None, int | None]]:
+    """Longest common subsequence of two rows; large ones are divided where both halves have the most matches."""
+    m, n = len(left), len(right)
+    if not m or not n:
+        return [(i + x, None) for x in range(m)] + [(None, j + y) for y in range(n)]
+    if m == 1:
+        at = np.flatnonzero(right == left[0])
+        if not len(at):
+            return [(i, None), *((None, j + y) for y in range(n))]
+        return [*((None, j + y) for y in range(at[0])), (i, j + int(at[0])), *((None, j + y) for y in range(int(at[0]) + 1, n))]
+    if m * n <= CELLS:
+        return _cells(left, right, i, j)
+    half = m // 2
+    before, after = _lengths(left[:half][::-1], right[::-1])[::-1], _lengths(left[half:], right)
+    cut_at = int((before + after).argmax())
+    return _common(left[:half], right[:cut_at], i, j) + _common(left[half:], right[cut_at:], i + half, j + cut_at)
+
+
+def _cells(left: np.ndarray, right: np.ndarray, i: int, j: int) -> list[tuple[int | None, int | None]]:
+    """Longest common subsequence of a small gap, by rows of matches."""
+    m, w = len(left), len(right)
+    best = np.zeros((m + 1, w + 1), np.int32)
+    for x in range(m - 1, -1, -1):
+        gain = best[x + 1, 1:] + (right == left[x])
         row = np.maximum(best[x + 1, :-1], gain)
         best[x, :-1] = np.maximum.accumulate(row[::-1])[::-1]
     out, x, y = [], 0, 0
-    while x < m - i and y < w:
-        if a[i + x] == b[j + y] and best[x, y] == best[x + 1, y + 1] + 1:
+    while x < m and y < w:
+        if left[x] == right[y] and best[x, y] == best[x + 1, y + 1] + 1:
             out.append((i + x, j + y))
             x, y = x + 1, y + 1
         elif best[x + 1, y] >= best[x, y + 1]:
@@ -262,8 +289,8 @@ def _cells(a: list[str], b: list[str], i: int, m: int, j: int, n: int) -> list[t
         else:
             out.append((None, j + y))
             y += 1
-    out.extend((k, None) for k in range(i + x, m))
-    out.extend((None, k) for k in range(j + y, n))
+    out.extend((i + k, None) for k in range(x, m))
+    out.extend((None, j + k) for k in range(y, w))
     return out
 
 
@@ -418,7 +445,7 @@ _ARROW = pa.schema([("key", pa.string()), ("concept", pa.int32()), ("block", pa.
 def _repairs_and_sizes(records: DataFrame, block: int) -> tuple[dict[str, str], DataFrame, DataFrame]:
     """Repairs of misread characters, names of nameless records by id, and keys with more rows than a block."""
     first = F.substring_index("definition", "。", 1)
-    brief = cut(records.select("id", name_key(F.col("name")).alias("key"), F.when(F.length(first).between(CLAUSE_CHARS, 200), F.xxhash64(first)).alias("first")))
+    brief = cut(records.select("id", name_key(F.col("name")).alias("key"), F.when(F.length(first) >= CLAUSE_CHARS, F.xxhash64(first)).alias("first")))
     repairs = misread(brief)
     if repairs:
         brief = brief.withColumn("key", F.translate("key", "".join(repairs), "".join(repairs.values())))

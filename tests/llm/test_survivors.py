@@ -85,6 +85,38 @@ def test_consensus_by_columns():
     assert s.consensus([]) == "" and s.distance("abc", "abc") == 0 and s.distance("abcd", "abd") == 1
 
 
+def common(a, b):
+    """Length of the longest common subsequence, plainly."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for k, y in enumerate(b, 1):
+            last, row[k] = row[k], last + 1 if x == y else max(row[k], row[k - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("size", [20, 190, 199, 200, 201, 210, 450])
+def test_alignments_have_the_most_matches_at_any_size(size):
+    rng = np.random.default_rng(size)
+    a, b = ("".join(rng.choice(list("abcdefgh"), size)) for _ in "ab")
+    a, b = f"x{a}y", f"z{b}w"
+    pairs = s.align(list(a), b)
+    both = [(x, y) for x, y in pairs if x is not None and y is not None]
+    assert [x for x, _ in pairs if x is not None] == list(range(len(a))) and [y for _, y in pairs if y is not None] == list(range(len(b)))
+    assert all(a[x] == b[y] for x, y in both) and len(both) == common(a, b)
+
+
+def test_long_names_are_repaired(spark):
+    long = "很" * 150
+    keys = [(f"{long}{a}体{b}",) for a in "叶导晶" for b in ("收敛", "振荡", "分泌", "吸收")] + [(f"{long}叶休收敛",)]
+    assert s.misread(spark.createDataFrame(keys, "key string")) == {"休": "体"}
+
+
+def test_long_first_sentences_find_nameless_records(spark):
+    long = "第一点" + "说明了细胞核在复制过程中形成的各种模型" * 20 + "。"
+    assert found(spark, [node("n1", long + "然后。"), node("n2", long, name=None)]) == [("n1", "n1", 2)]
+
+
 def test_very_long_values(spark):
     long = "".join(f"第{i}点说明细胞核的复制过程。" for i in range(6000))
     rows = [node("n1", long), node("n2", long[:-7] + "。"), node("n3", long.replace("第77点", "第□7点"))]
