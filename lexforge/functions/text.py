@@ -73,30 +73,43 @@ def cn_numbers() -> dict[str, int]:
     return out
 
 
-_CHAPTER = r"^第\s*([零一二三四五六七八九十百\d]+)\s*章"
+#: Blanks and digits in patterns are those of Unicode.
+_CHAPTER = r"(?U)^第\s*([零一二三四五六七八九十百\d]+)\s*章"
 
 
 def chapter_number(text: Column) -> Column:
     """The number of a chapter heading at the start of a text: 0 if it can't be read, null if there is no heading."""
     plain = strip(text)
-    spelled, arabic = F.regexp_extract(plain, _CHAPTER, 1), F.regexp_extract(plain, r"(?i)^Chapter\s+(\d+)", 1)
+    spelled, arabic = F.regexp_extract(plain, _CHAPTER, 1), F.regexp_extract(plain, r"(?iU)^Chapter\s+(\d+)", 1)
     table = F.create_map(*[F.lit(x) for pair in cn_numbers().items() for x in pair])
-    return F.when(spelled != "", F.coalesce(F.try_element_at(table, spelled), spelled.try_cast("int"), F.lit(0))).when(arabic != "", F.coalesce(arabic.try_cast("int"), F.lit(0)))
+    return F.when(spelled != "", F.coalesce(F.try_element_at(table, spelled), ascii_digits(spelled).try_cast("int"), F.lit(0))).when(arabic != "", F.coalesce(ascii_digits(arabic).try_cast("int"), F.lit(0)))
+
+
+@lru_cache(maxsize=1)
+def _digits() -> tuple[str, str]:
+    """Digits of all scripts and the plain ones they stand for, from the Unicode rule."""
+    found = [chr(p) for p in range(128, 0x10000) if unicodedata.category(chr(p)) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.digit(c)) for c in found)
+
+
+def ascii_digits(col: Column) -> Column:
+    """Digits of any script as plain ones."""
+    return F.translate(col, *_digits())
 
 
 def is_footer(text: Column) -> Column:
     """Short lines that are digits only, a page mark, a rights notice, or blank."""
     plain = strip(text)
-    return (F.length(plain) < 30) & (plain.rlike(r"^\d+$") | plain.rlike(r"^第\s*\d+\s*页") | plain.rlike("^版权所有") | (plain == ""))
+    return (F.length(plain) < 30) & (plain.rlike(r"(?U)^\d+$") | plain.rlike(r"(?U)^第\s*\d+\s*页") | plain.rlike("^版权所有") | (plain == ""))
 
 
 def page_mark(text: Column) -> Column:
     """The page of the first [第N页] mark, 0 without one."""
-    return F.coalesce(F.regexp_extract(text, r"\[第(\d+)页\]", 1).try_cast("int"), F.lit(0))
+    return F.coalesce(ascii_digits(F.regexp_extract(text, r"(?U)\[第(\d+)页\]", 1)).try_cast("int"), F.lit(0))
 
 
 def without_page_marks(text: Column, most: int = 800) -> Column:
-    return F.substring(F.regexp_replace(text, r"\[第\d+页\]\s*", ""), 1, most)
+    return F.substring(F.regexp_replace(text, r"(?U)\[第\d+页\]\s*", ""), 1, most)
 
 
 def domain_key(chapter: Column) -> Column:
@@ -111,10 +124,57 @@ def compressed(definition: Column) -> Column:
 
 def json_body(raw: Column) -> Column:
     """The JSON object of an answer: without code fences, from the first brace to the last; null without one."""
-    bare = F.regexp_replace(F.regexp_replace(strip(raw), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
+    bare = F.regexp_replace(F.regexp_replace(strip(raw), r"(?U)^```(?:json)?\s*", ""), r"(?U)\s*```$", "")
     body = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
     return F.when(body != "", body)
 
 
 def citation(book: Column, chapter: Column, page: Column) -> Column:
     return F.format_string("[%s, %s, 第%d页]", book, chapter, page)
+
+
+def chunk_document(book: Column, chapter: Column, page: Column, text: Column) -> Column:
+    """A chunk as it stands in a context: book, chapter and page before the text."""
+    return F.concat(F.lit("教材: "), book, F.lit("\n章节: "), chapter, F.format_string("\n页码: 第%d页\n\n", page), text)
+
+
+def embedding_text(name: Column, definition: Column) -> Column:
+    """What is embedded of a node."""
+    return F.concat(name, F.lit(": "), definition)
+
+
+#: Hidden characters that may stand before a name.
+HIDDEN = "\ufeff\u200b\u200e\u200f"
+
+
+def clean_name(name: Column) -> Column:
+    """A displayed name without blanks at its ends and hidden characters before it."""
+    return F.ltrim(strip(name), F.lit(HIDDEN))
+
+
+#: Signs before the choices of an outline by depth, and before statements by kind.
+CHOICE_SIGNS = ["📘 ", "  📄 ", "    📌 "]
+KIND_SIGNS = {"总结": "📝", "定义": "🟣", "定理": "🔴", "命题": "🟠", "推论": "🟢", "引理": "🔵"}
+
+
+def choice_label(depth: Column, name: Column) -> Column:
+    """A name of an outline with the sign of its depth: chapters have depth 1, sections 2, all below 3."""
+    signs = F.array(*map(F.lit, CHOICE_SIGNS))
+    return F.concat(F.element_at(signs, F.least(F.greatest(depth, F.lit(1)), F.lit(3)).cast("int")), name)
+
+
+def kind_label(kind: Column, name: Column) -> Column:
+    """A name of at most 60 characters with the sign of its kind, if it has one."""
+    sign = F.create_map(*[F.lit(x) for pair in KIND_SIGNS.items() for x in pair])[F.coalesce(kind, F.lit(""))]
+    return F.concat(F.coalesce(F.concat(sign, F.lit(" ")), F.lit("")), F.substring(name, 1, 60))
+
+
+def choice_name(label: Column) -> Column:
+    """The name in a choice's label."""
+    return strip(F.ltrim(strip(label), F.lit("".join(s.strip() for s in CHOICE_SIGNS))))
+
+
+def choice_question(label: Column) -> Column:
+    """The question that is asked when a choice is taken; empty for an empty choice."""
+    name = choice_name(label)
+    return F.when(F.coalesce(label, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("请详细解释「"), name, F.lit("」的内容，包括其数学表述和相关背景。")))
