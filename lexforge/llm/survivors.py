@@ -89,7 +89,7 @@ def _gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key in batch["key"].to_pylist():
             code = np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
             while len(powers) < len(code):
-                powers = np.concatenate([powers, powers * (powers[-1] * base)])
+                powers = np.concatenate([powers, powers * (powers[-1:] * np.full(1, base))])
             part = (code + np.uint64(1)) * powers[: len(code)]
             around = part.sum() - part
             # the place and the length tell gaps apart that sum up alike
