@@ -3,7 +3,8 @@
 Parent keys are cut into ranges; each range is one sorted array. References travel
 to the range that could hold their key and are looked up there by binary search, a
 batch at a time. Ranges that receive many references are split by salt: their parent
-array, whose size is bounded, is sent to each split.
+array, whose size is bounded, is sent to each split. Ranges of too many keys are cut
+into parts by the hash of the key.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.session import keep
+
 #: Parent keys that one range should hold, and the most ranges for which bounds are kept on the driver.
 KEYS_PER_RANGE, MOST_RANGES = 10_000, 10_000
+#: Parent keys from which on a range is cut into parts by hash, each with an array of its own.
+KEYS_PER_PART = 1_000_000
 #: References that one split of a range should receive.
 REFERENCES_PER_SPLIT = 500_000
 #: Keys up to this length are held in arrays of fixed width.
@@ -63,7 +68,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by range and split, parents first; parent arrays are kept for one split only."""
     place, parts, keys, times = None, [], np.empty(0, object), np.empty(0, "int64")
     for batch in batches:
-        group = pc.add(pc.multiply(batch["range_no"].cast(pa.int64()), 1_000_000), batch["split_no"].cast(pa.int64())).to_numpy(zero_copy_only=False)
+        group = batch["place"].to_numpy(zero_copy_only=False)
         is_parent = batch["is_parent"].to_numpy(zero_copy_only=False)
         edges = np.flatnonzero(np.diff(group)) + 1
         for start, end in zip([0, *edges], [*edges, len(group)], strict=True):
@@ -94,7 +99,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["ref_id"], part["endpoint"], part["period"], pa.array(state, pa.string())], ["ref_id", "endpoint", "period", "state"])
 
 
-def resolve_references(references: DataFrame, parents: DataFrame, keys_per_range: int = KEYS_PER_RANGE, references_per_split: int = REFERENCES_PER_SPLIT) -> DataFrame:
+def resolve_references(references: DataFrame, parents: DataFrame, keys_per_range: int = KEYS_PER_RANGE, references_per_split: int = REFERENCES_PER_SPLIT, keys_per_part: int = KEYS_PER_PART) -> DataFrame:
     """State of every reference: known, later (its parent was loaded after it) or missing.
 
     ``references`` has ref_id bigint, endpoint string, key string, at timestamp and
@@ -104,21 +109,25 @@ def resolve_references(references: DataFrame, parents: DataFrame, keys_per_range
     loaded, a null reference time as loaded last. Repeated references stay repeated.
     Other columns are ignored. Empty tables give an empty result, or all missing.
     """
-    parents = parents.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(-(2**62)))).alias("at"))
+    parents = keep(parents.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(-(2**62)))).alias("at")))
     references = references.where(F.col("key").isNotNull())
     bounds = range_bounds(parents, "key", keys_per_range)
     refs = references.select("ref_id", "endpoint", "key", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "period").withColumn("range_no", _range_of(F.col("key"), bounds))
+    placed = parents.withColumn("range_no", _range_of(F.col("key"), bounds))
+    # a range of very many keys, beyond MOST_RANGES of them, is cut by hash; its references go to their key's part
+    parts = {r["range_no"]: -(-r["count"] // keys_per_part) for r in placed.groupBy("range_no").count().where(F.col("count") > keys_per_part).collect()}
     splits = {r["range_no"]: -(-r["count"] // references_per_split) for r in refs.groupBy("range_no").count().where(F.col("count") > references_per_split).collect()}
-    of = F.lit(1)
-    if splits:
-        of = F.coalesce(F.create_map(*[F.lit(x) for pair in splits.items() for x in pair])[F.col("range_no")], F.lit(1))
-    refs = refs.withColumn("split_no", F.pmod(F.xxhash64("ref_id", "endpoint"), of).cast("int")).withColumn("is_parent", F.lit(0))
-    known = (
-        parents.withColumn("range_no", _range_of(F.col("key"), bounds))
-        .withColumn("split_no", F.explode(F.sequence(F.lit(0), of.cast("int") - 1)))
-        .select(F.lit(None).cast(references.schema["ref_id"].dataType).alias("ref_id"), F.lit(None).cast("string").alias("endpoint"), "key", "at", F.lit(None).cast("string").alias("period"), "range_no", "split_no", F.lit(1).alias("is_parent"))
+
+    def of(counts: dict[int, int]) -> Column:
+        return F.coalesce(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("range_no")], F.lit(1)) if counts else F.lit(1)
+
+    part = F.pmod(F.xxhash64("key"), of(parts)).cast("long")
+    place = lambda split: (F.col("range_no").cast("long") * 1_000_000 + part) * 1_000_000 + split
+    refs = refs.withColumn("place", place(F.pmod(F.xxhash64("ref_id", "endpoint"), of(splits)).cast("long"))).withColumn("is_parent", F.lit(0)).drop("range_no")
+    known = placed.withColumn("split_no", F.explode(F.sequence(F.lit(0), of(splits).cast("int") - 1))).select(
+        F.lit(None).cast(references.schema["ref_id"].dataType).alias("ref_id"), F.lit(None).cast("string").alias("endpoint"), "key", "at", F.lit(None).cast("string").alias("period"), place(F.col("split_no").cast("long")).alias("place"), F.lit(1).alias("is_parent")
     )
-    both = refs.select(*known.columns).unionByName(known).repartition("range_no", "split_no").sortWithinPartitions("range_no", "split_no", F.desc("is_parent"))
+    both = refs.select(*known.columns).unionByName(known).repartition("place").sortWithinPartitions("place", F.desc("is_parent"))
     kind = references.schema["ref_id"].dataType.simpleString()
     return both.mapInArrow(_probe, f"ref_id {kind}, endpoint string, period string, state string")
 

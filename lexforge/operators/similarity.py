@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one block of the pair join, questions of one call, and questions that are scored at once.
+from lexforge.session import ship
+
+#: Rows of one block of the pair join, questions that go to every task, and questions that are scored at once.
 BLOCK, QUESTIONS, TOGETHER = 8192, 4096, 256
+#: Rows for each pivot of the pair join, most pivots, and sampled rows for each of them.
+PER_PIVOT, MOST_PIVOTS, PIVOT_SAMPLE = 2048, 1024, 16
+#: Rows of a block of chunks that meets a block of questions.
+CHUNKS = 65_536
 
 
 def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -24,32 +31,97 @@ def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return m[good] / size[good, None], rows[good]
 
 
+def _pivots(rows: DataFrame, dim: int, count: int, seed: int = 7) -> np.ndarray:
+    """Unit vectors around which the rows are put in cells; they decide how much is compared, never a result."""
+    total = max(1, rows.count())
+    wanted = count * PIVOT_SAMPLE
+    got = rows.select("embedding").sample(min(1.0, 1.3 * wanted / total), seed=seed).limit(2 * wanted).toArrow()
+    x = _unit_rows(got["embedding"], dim)[0] if got.num_rows else np.empty((0, dim))
+    if not len(x):
+        return np.eye(1, dim)
+    centres = x[np.random.default_rng(seed).choice(len(x), min(count, len(x)), replace=False)]
+    for _ in range(3):
+        near, sums = (x @ centres.T).argmax(1), np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
+    return centres
+
+
 def candidate_pairs(nodes: DataFrame, dim: int, least: float = 0.70) -> DataFrame:
     """a, b, a_ord, b_ord, similarity of rows of different books with a cosine of at least the bound, the earlier first.
 
-    ``nodes`` has id, book, ord (unique) and embedding. The join is exact: rows are
-    hashed into blocks and every two blocks meet once, as matrices; products in single
-    precision choose, double precision decides.
+    ``nodes`` has id, book, ord (unique) and embedding. The join is exact. Rows lie in
+    cells around pivots; a row meets another cell only if the angle to its pivot, less
+    the cell's radius, is within the bound, so cells that can't hold a partner are never
+    compared. Vectors without structure have wide cells and are compared block by block.
+    Large cells are cut into blocks. Products in single precision choose, double decides.
     """
+    ship(nodes.sparkSession)
     rows = nodes.select("id", "book", "ord", "embedding").where("embedding is not null and book is not null")
-    blocks = max(1, -(-rows.count() // BLOCK))
-    own = F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int")
-    placed = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    placed = placed.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    total = rows.count()
+    pivots = _pivots(rows, dim, int(min(MOST_PIVOTS, max(1, -(-total // PER_PIVOT)))))
+    angle = float(np.arccos(min(1.0, max(-1.0, least)))) + 1e-6
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far, held = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+        for batch in batches:
+            v, _ = _unit_rows(batch["embedding"], dim)
+            if len(v):
+                c = v @ pivots.T
+                own = c.argmax(1)
+                np.maximum.at(far, own, np.arccos(np.clip(c[np.arange(len(v)), own], -1, 1)))
+                held += np.bincount(own, minlength=len(pivots))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots))), pa.array(far), pa.array(held)], ["cell", "far", "held"])
+
+    radius, blocks = np.zeros(len(pivots)), np.ones(len(pivots), np.int64)
+    for r in rows.select("embedding").mapInArrow(measure, "cell long, far double, held long").groupBy("cell").agg(F.max("far").alias("far"), F.sum("held").alias("held")).collect():
+        radius[r.cell], blocks[r.cell] = r.far, max(1, -(-r.held // BLOCK))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, at = _unit_rows(batch["embedding"], dim)
+            if not len(v):
+                continue
+            batch = batch.take(pa.array(at))
+            c = v @ pivots.T
+            own = c.argmax(1)
+            # each pair of cells meets once, in the higher one
+            asks = (np.arccos(np.clip(c, -1, 1)) - radius[None, :] <= angle) & (np.arange(len(pivots))[None, :] >= own[:, None])
+            asks[np.arange(len(v)), own] = True
+            mix = (pd.util.hash_array(batch["ord"].to_numpy(zero_copy_only=False)) >> np.uint64(2)).astype(np.int64)
+            mine = mix % blocks[own]
+            rows_, cells = np.nonzero(asks)
+            parts = []
+            for k in range(int(blocks.max())):
+                pick = np.flatnonzero(blocks[cells] > k)
+                i, cell = rows_[pick], cells[pick]
+                inside = cell == own[i]
+                # within a cell every two blocks meet once
+                low, high = np.where(inside, np.minimum(mine[i], k), k), np.where(inside, np.maximum(mine[i], k), -1)
+                parts.append((i, cell, low, high, inside, np.where(inside, mine[i], -1)))
+            i, cell, low, high, inside, block = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(i)), batch["book"].take(pa.array(i)), batch["ord"].take(pa.array(i)), batch["embedding"].take(pa.array(i)), *(pa.array(x.astype("int32")) for x in (cell, low, high, block))], ["id", "book", "ord", "embedding", "cell", "low", "high", "block"])
+            # a row of the cell is stored where rows of other cells ask
+            stored = (own, mine, np.full(len(v), -1), np.full(len(v), -2))
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["book"], batch["ord"], batch["embedding"], *(pa.array(x.astype("int32")) for x in stored)], ["id", "book", "ord", "embedding", "cell", "low", "high", "block"])
 
     def meet(group: pa.Table) -> pa.Table:
         v, at = _unit_rows(group["embedding"], dim)
         t = group.take(pa.array(at))
-        own, order = np.asarray(t["own"]), np.asarray(t["ord"])
+        block, order = np.asarray(t["block"]), np.asarray(t["ord"])
         books = np.asarray(t["book"].combine_chunks().dictionary_encode().indices)
-        i, j = np.asarray(group["i"])[0], np.asarray(group["j"])[0]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        low, high = np.asarray(group["low"])[0], np.asarray(group["high"])[0]
+        if high >= 0:
+            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        else:
+            left, right = np.flatnonzero(block == -1), np.flatnonzero(block == -2)
         f = v.astype(np.float32)
         a_all, b_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for s in range(0, len(left), 1024):
             x, y = np.nonzero(f[left[s : s + 1024]] @ f[right].T >= least - 1e-5)
             a, b = left[s + x], right[y]
-            keep = (books[a] != books[b]) & ((order[a] < order[b]) if i == j else (order[a] != order[b]))
+            keep = (books[a] != books[b]) & ((order[a] < order[b]) if low == high else (order[a] != order[b]))
             a_all.append(a[keep])
             b_all.append(b[keep])
         a, b = np.concatenate(a_all), np.concatenate(b_all)
@@ -60,38 +132,29 @@ def candidate_pairs(nodes: DataFrame, dim: int, least: float = 0.70) -> DataFram
         a, b, sim = pa.array(a[keep]), pa.array(b[keep]), sim[keep]
         return pa.table({"a": t["id"].take(a), "b": t["id"].take(b), "a_ord": t["ord"].take(a), "b_ord": t["ord"].take(b), "similarity": pa.array(sim)})
 
-    kind = rows.schema["ord"].dataType.simpleString()
-    return placed.groupBy("i", "j").applyInArrow(meet, f"a string, b string, a_ord {kind}, b_ord {kind}, similarity double")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    placed = rows.mapInArrow(place, f"id {kind['id']}, book {kind['book']}, ord {kind['ord']}, embedding {kind['embedding']}, cell int, low int, high int, block int")
+    return placed.groupBy("cell", "low", "high").applyInArrow(meet, f"a string, b string, a_ord {kind['ord']}, b_ord {kind['ord']}, similarity double")
 
 
-def top_per_question(questions: DataFrame, chunks: DataFrame, dim: int, k: int) -> DataFrame:
-    """qid, ord, key, score: the k best rows of every question, ties by ord.
-
-    ``questions`` has qid and embedding and goes to every task in blocks of bounded
-    size; ``chunks`` has ord, key and embedding. Each task keeps its own k best, and
-    only those are shuffled.
-    """
-    asked = questions.select("qid", "embedding").orderBy("qid").toArrow()
-    q, at = _unit_rows(asked["embedding"], dim)
-    ids = asked["qid"].to_numpy()[at]
-    if len(ids) > QUESTIONS:
-        raise ValueError(f"ask at most {QUESTIONS} questions at once")
+def _best_rows(q: np.ndarray, ids: np.ndarray, dim: int, k: int) -> Callable:
+    """The k best of some rows for every question, ties by ord."""
 
     def prune(found: tuple) -> tuple:
-        """The k best of every question, ties by ord."""
         n, s, o, keys = found
         order = np.lexsort((o, -s, n))
         rank = np.arange(len(n)) - np.searchsorted(n[order], n[order])
         keep = order[rank < k]
         return n[keep], s[keep], o[keep], keys.take(pa.array(keep))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch | pa.Table]) -> Iterator[pa.RecordBatch]:
         best = None
         for batch in batches:
             v, rows = _unit_rows(batch["embedding"], dim)
             if not len(v) or not len(q):
                 continue
-            order, keys = batch["ord"].to_numpy(zero_copy_only=False)[rows], batch["key"].take(pa.array(rows))
+            order, keys = np.asarray(batch["ord"])[rows], batch["key"].take(pa.array(rows))
+            keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
             for a in range(0, len(q), TOGETHER):
                 score = q[a : a + TOGETHER] @ v.T
                 # all that tie with the k-th stay until the last cut
@@ -103,8 +166,38 @@ def top_per_question(questions: DataFrame, chunks: DataFrame, dim: int, k: int)
         if best is not None:
             yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), best[3], pa.array(best[1])], ["qid", "ord", "key", "score"])
 
-    shape = {c: chunks.schema[c].dataType.simpleString() for c in ("ord", "key")}
-    found = chunks.select("ord", "key", "embedding").mapInArrow(run, f"qid {questions.schema['qid'].dataType.simpleString()}, ord {shape['ord']}, key {shape['key']}, score double")
+    return run
+
+
+def top_per_question(questions: DataFrame, chunks: DataFrame, dim: int, k: int) -> DataFrame:
+    """qid, ord, key, score: the k best rows of every question, ties by ord.
+
+    ``questions`` has qid and embedding, ``chunks`` has ord, key and embedding. A few
+    questions go to every task, and the chunks stay where they are; of more, blocks of
+    questions meet blocks of chunks. Either way a task keeps its own k best only.
+    """
+    ship(chunks.sparkSession)
+    kind = {c: chunks.schema[c].dataType.simpleString() for c in ("ord", "key")}
+    asks = questions.schema["qid"].dataType.simpleString()
+    schema = f"qid {asks}, ord {kind['ord']}, key {kind['key']}, score double"
+    count = questions.count()
+    rows = chunks.select("ord", "key", "embedding")
+    if count <= QUESTIONS:
+        asked = questions.select("qid", "embedding").toArrow().sort_by("qid")
+        q, at = _unit_rows(asked["embedding"], dim)
+        found = rows.mapInArrow(_best_rows(q, asked["qid"].to_numpy()[at], dim, k), schema)
+    else:
+        groups, parts = -(-count // QUESTIONS), max(1, -(-chunks.count() // CHUNKS))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = questions.select("qid", "embedding", F.pmod(F.xxhash64("qid"), F.lit(groups)).alias("g")).withColumn("p", every(parts))
+        right = rows.withColumn("p", F.pmod(F.xxhash64("ord"), F.lit(parts))).withColumn("g", every(groups))
+
+        def meet(asked: pa.Table, part: pa.Table) -> pa.Table:
+            q, at = _unit_rows(asked["embedding"], dim)
+            got = list(_best_rows(q, np.asarray(asked["qid"])[at], dim, k)([part])) if len(q) and part.num_rows else []
+            return pa.Table.from_batches(got) if got else pa.table({"qid": asked["qid"].slice(0, 0), "ord": part["ord"].slice(0, 0), "key": part["key"].slice(0, 0), "score": pa.array([], pa.float64())})
+
+        found = left.groupBy("g", "p").cogroup(right.groupBy("g", "p")).applyInArrow(meet, schema)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "ord"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 

@@ -36,3 +36,10 @@ def test_empty_tables_long_keys_and_repeats(spark):
 def test_report_counts(spark):
     rows = spark.createDataFrame([(1, "s", "2025-01", "missing"), (2, "s", "2025-01", "known"), (3, "t", "2025-01", "later")], "ref_id long, endpoint string, period string, state string")
     assert by_hand(orphans.report(rows, "edges")) == [("edges", "s", "2025-01", 2, 1, 0), ("edges", "t", "2025-01", 1, 0, 1)]
+
+
+def test_a_range_of_too_many_keys_is_cut_into_parts(spark):
+    parents = [(f"k{i:04}", T[0]) for i in range(500)]
+    refs = [(i, "s", f"k{i % 700:04}", T[1], "m") for i in range(2000)]
+    whole = states(spark, refs, parents)
+    assert states(spark, refs, parents, keys_per_range=100, keys_per_part=7, references_per_split=50) == whole

@@ -31,3 +31,29 @@ def test_top_rows_and_contexts(spark):
     assert by_hand(s.top_per_question(q, chunks, 2, 2).select("qid", "ord")) == [(5, 0), (5, 1)]
     got = answer_contexts(q, chunks, 2, 2).first()
     assert got.context == "[1] text 0\n\n---\n\n[2] text 1" and got.citations[0].citation == "[book, c0, 第0页]"
+
+
+def test_pairs_of_many_cells_and_blocks_are_all_found(spark, monkeypatch):
+    monkeypatch.setattr(s, "BLOCK", 30)
+    monkeypatch.setattr(s, "PER_PIVOT", 20)
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((25, 12))[rng.integers(0, 25, 600)] + 0.1 * rng.standard_normal((600, 12))
+    v[:200] = v[0] + 0.01 * rng.standard_normal((200, 12))
+    rows = [(f"n{i}", f"b{i % 4}", i, [float(x) for x in v[i]]) for i in range(600)]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for least in (0.9, 0.2, -0.5):
+        want = sorted((f"n{i}", f"n{j}") for i, j in zip(*np.nonzero(np.triu(u @ u.T >= least, 1)), strict=True) if i % 4 != j % 4)
+        got = by_hand(s.candidate_pairs(spark.createDataFrame(rows, "id string, book string, ord long, embedding array<double>"), 12, least).select("a", "b"))
+        assert got == want
+
+
+def test_any_number_of_questions(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((300, 6))
+    chunks = spark.createDataFrame([(i, i % 7, [float(x) for x in v[i]]) for i in range(300)], "ord long, key int, embedding array<double>")
+    q = chunks.where("ord < 90").select(chunks.ord.alias("qid"), "embedding")
+    want = by_hand(s.top_per_question(q, chunks, 6, 4).select("qid", "ord"))
+    monkeypatch.setattr(s, "QUESTIONS", 40)
+    monkeypatch.setattr(s, "CHUNKS", 70)
+    assert by_hand(s.top_per_question(q, chunks, 6, 4).select("qid", "ord")) == want and len(want) == 360
+    assert s.top_per_question(q, chunks.limit(0), 6, 4).count() == 0
