@@ -9,6 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lexforge.session import ship
 
@@ -192,10 +194,14 @@ def top_per_question(questions: DataFrame, chunks: DataFrame, dim: int, k: int)
         left = questions.select("qid", "embedding", F.pmod(F.xxhash64("qid"), F.lit(groups)).alias("g")).withColumn("p", every(parts))
         right = rows.withColumn("p", F.pmod(F.xxhash64("ord"), F.lit(parts))).withColumn("g", every(groups))
 
+        none = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
         def meet(asked: pa.Table, part: pa.Table) -> pa.Table:
-            q, at = _unit_rows(asked["embedding"], dim)
-            got = list(_best_rows(q, np.asarray(asked["qid"])[at], dim, k)([part])) if len(q) and part.num_rows else []
-            return pa.Table.from_batches(got) if got else pa.table({"qid": asked["qid"].slice(0, 0), "ord": part["ord"].slice(0, 0), "key": part["key"].slice(0, 0), "score": pa.array([], pa.float64())})
+            got = []
+            if asked.num_rows and part.num_rows:
+                q, at = _unit_rows(asked["embedding"], dim)
+                got = list(_best_rows(q, np.asarray(asked["qid"])[at], dim, k)([part]))
+            return pa.Table.from_batches(got) if got else none
 
         found = left.groupBy("g", "p").cogroup(right.groupBy("g", "p")).applyInArrow(meet, schema)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "ord"))
