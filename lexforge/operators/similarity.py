@@ -192,7 +192,8 @@ def top_per_question(questions: DataFrame, chunks: DataFrame, dim: int, k: int)
         groups, parts = -(-count // QUESTIONS), max(1, -(-chunks.count() // CHUNKS))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         left = questions.select("qid", "embedding", F.pmod(F.xxhash64("qid"), F.lit(groups)).alias("g")).withColumn("p", every(parts))
-        right = rows.withColumn("p", F.pmod(F.xxhash64("ord"), F.lit(parts))).withColumn("g", every(groups))
+        # new columns, in case the questions are rows of the chunks
+        right = rows.select("ord", "key", F.transform("embedding", lambda x: x).alias("embedding")).withColumn("p", F.pmod(F.xxhash64("ord"), F.lit(parts))).withColumn("g", every(groups))
 
         none = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
