@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import json_body, strip
 from lexforge.operators.prefix import running
-from lexforge.schemas import IMPORTANCE, RELATIONS
+from lexforge.schemas import CATEGORIES, IMPORTANCE, RELATIONS
 
 _NODE = "array<struct<local_id: string, name: string, definition: string, importance_level: string, page: string>>"
 _EDGE = "array<struct<source: string, target: string, relation_type: string, description: string>>"
@@ -17,6 +17,29 @@ def _variant(raw_outputs: DataFrame) -> DataFrame:
     return raw_outputs.withColumn("_v", F.try_parse_json(json_body(F.col("raw"))))
 
 
+def _items(raw_outputs: DataFrame) -> DataFrame:
+    return _variant(raw_outputs).select("textbook_id", "batch_no", "chapter", F.col("page").alias("batch_page"), F.posexplode(F.try_variant_get("_v", "$.nodes", "array<variant>")).alias("pos", "item"))
+
+
+def _text(name: str) -> Column:
+    return F.try_variant_get("item", f"$.{name}", "string")
+
+
+def _kind(name: str) -> Column:
+    """A field that is missing has no type, one that is null has the type of null."""
+    return F.schema_of_variant(F.try_variant_get("item", f"$.{name}", "variant"))
+
+
+def _field(name: str, default: str) -> Column:
+    return F.when(_kind(name).isNull(), F.lit(default)).otherwise(_text(name))
+
+
+def _page() -> Column:
+    """The page of an item, that of its batch if it names none, null if it is no whole number."""
+    page = _text("page").try_cast("double")
+    return F.when(_kind("page").isNull(), F.col("batch_page")).when(page == F.floor(page), page.cast("int"))
+
+
 def parsed_nodes(raw_outputs: DataFrame) -> DataFrame:
     """textbook_id, batch_no, pos, local_id, name, definition, importance_level, chapter, page of valid nodes.
 
@@ -24,21 +47,8 @@ def parsed_nodes(raw_outputs: DataFrame) -> DataFrame:
     outside the vocabulary drops the node; a missing page is the batch's, one that is
     no whole number drops the node. Answers that are no JSON have no nodes.
     """
-    items = _variant(raw_outputs).select("textbook_id", "batch_no", "chapter", F.col("page").alias("batch_page"), F.posexplode(F.try_variant_get("_v", "$.nodes", "array<variant>")).alias("pos", "item"))
-
-    def text(name: str):
-        return F.try_variant_get("item", f"$.{name}", "string")
-
-    # a field that is missing has no type, one that is null has the type of null
-    def kind(name: str):
-        return F.schema_of_variant(F.try_variant_get("item", f"$.{name}", "variant"))
-
-    page, page_kind = text("page"), kind("page")
-    whole = F.when(page_kind.isNull(), F.col("batch_page")).when(page.try_cast("double") == F.floor(page.try_cast("double")), page.try_cast("double").cast("int"))
-
-    def field(name: str, default: str):
-        return F.when(kind(name).isNull(), F.lit(default)).otherwise(text(name))
-
+    items = _items(raw_outputs)
+    text, field, whole = _text, _field, _page()
     checked = items.select(
         "textbook_id", "batch_no", "pos", text("local_id").alias("local_id"),
         F.substring(field("name", ""), 1, 20).alias("name"), F.substring(field("definition", ""), 1, 300).alias("definition"),
@@ -102,3 +112,35 @@ def deduplicated_nodes(nodes: DataFrame) -> DataFrame:
 def deduplicated_edges(edges: DataFrame, within: list[str]) -> DataFrame:
     """One edge for each source, target and relation, with the first description."""
     return edges.groupBy(*within, "source", "target", "relation_type").agg(F.min_by(F.struct("description"), "ord").alias("d"), F.min("ord").alias("ord")).select(*within, "source", "target", "relation_type", "d.description", "ord")
+
+
+def legacy_nodes(raw_outputs: DataFrame) -> DataFrame:
+    """textbook_id, batch_no, pos, id, name, definition, category, chapter, page of valid nodes of answers about whole chapters.
+
+    A name is needed. A missing id is made of the node's place, a missing definition is
+    empty, a missing category the first of the vocabulary and a missing page the
+    chapter's; an explicit null, another category or a page that is no whole number
+    drops the node. Texts keep their length.
+    """
+    checked = _items(raw_outputs).select(
+        "textbook_id", "batch_no", "pos", F.when(_kind("id").isNull(), F.format_string("node_%03d", "pos")).otherwise(_text("id")).alias("id"), _text("name").alias("name"),
+        _field("definition", "").alias("definition"), _field("category", CATEGORIES[0]).alias("category"), "chapter", _page().alias("page"),
+    )
+    whole = [F.col(c).isNotNull() for c in ("id", "name", "definition", "page")]
+    return checked.where(whole[0] & whole[1] & whole[2] & whole[3] & F.col("category").isin(CATEGORIES))
+
+
+def legacy_edges(raw_outputs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """textbook_id, batch_no, pos, source, target, relation_type, description of edges between valid nodes of the same answer."""
+    items = _variant(raw_outputs).select("textbook_id", "batch_no", F.posexplode(F.try_variant_get("_v", "$.edges", "array<variant>")).alias("pos", "item"))
+    rows = items.select("textbook_id", "batch_no", "pos", _text("source").alias("source"), _text("target").alias("target"), _field("relation_type", RELATIONS[1]).alias("relation_type"), _field("description", "").alias("description"))
+    rows = rows.where(F.col("relation_type").isin(RELATIONS) & F.col("description").isNotNull())
+    ids = nodes.select("textbook_id", "batch_no", "id").distinct()
+    for end in ("source", "target"):
+        rows = rows.join(ids.withColumnRenamed("id", end), ["textbook_id", "batch_no", end], "left_semi")
+    return rows
+
+
+def is_answer(raw: Column) -> Column:
+    """Whether an answer holds a JSON object, so that it need not be asked for again."""
+    return F.try_parse_json(json_body(raw)).isNotNull()

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 IMPORTANCE = ["关键", "重要", "补充"]
 RELATIONS = ["prerequisite", "parallel", "contains", "applies_to"]
 ACTIONS = ["merge", "keep", "remove"]
+CATEGORIES = ["核心概念", "定理/定律", "方法/技术", "现象/过程"]
 
 _VECTOR = "embedding array<float>"
 

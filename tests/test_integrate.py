@@ -12,6 +12,10 @@ from lexforge.operators.prefix import last_known, running
 def test_judge_rules(spark):
     rows = [("p", "q", 1, 2, 0.8, True, 0.9, "merge", ""), ("r", "s", 1, 3, 0.8, True, 0.9, "merge", None), ("t", "u", 2, 3, 0.8, True, 0.7, "remove", "a"), ("v", "w", 4, 5, 0.8, False, 0.7, "merge", "a")]
     judged = spark.createDataFrame(rows, "a string, b string, a_ord long, b_ord long, similarity double, is_same boolean, confidence double, action string, best_source string")
+    judged = judged.withColumns({"a_name": F.upper("a"), "b_name": F.upper("b"), "reason": F.lit("why")})
+    told = {r.decision_no: r for r in g.decisions(judged).collect()}
+    assert told[1].affected_nodes == ["q", "p"] and told[1].affected_names == ["Q", "P"] and told[1].reason == "why"
+    assert told[3].affected_nodes == ["t", "u"] and told[3].reason == "不同概念，各自保留。相似度 0.80，why"
     got = by_hand(g.decisions(judged).select("decision_id", "result_node", "confidence").fillna("-"))
     assert got == [("keep_0003", "-", 0.7), ("keep_0004", "-", 0.7), ("merge_0001", "q", 0.8), ("merge_0002", "r", 0.8)]
 
@@ -70,11 +74,45 @@ def test_domains_report_overrides_and_json(spark):
     n = spark.createDataFrame([(f"n{i}", f"c{i}", "极限论第一章" if i < 7 else "Introduction", i, "b", "", "重要", 1) for i in range(8)], "id string, name string, chapter string, ord long, textbook_id string, definition string, importance_level string, page int")
     cov = g.domain_coverage(n)
     assert by_hand(cov) == [("Introd", 1, "c7"), ("极限论", 7, "c0, c1, c2, c3, c4...")]
-    d = decided(spark, [("merge", ["n0", "n1"], "n0")]).withColumn("decision_id", F.lit("merge_0001"))
-    text = g.report(g.stats(n, n, d), cov, d).first()[0]
-    assert "n0 + n1 -> n0" in text and "极限论 | 7" in text
+    d = decided(spark, [("merge", ["n0", "n1"], "n0")]).withColumns({"decision_id": F.lit("merge_0001"), "affected_names": F.array(F.lit("c0"), F.lit("c1")), "confidence": F.lit(0.875), "reason": F.lit("same")})
+    text = g.report(g.stats(n, n, d), cov, d, g.completeness(n, n, d), generated_at="2026-01-02 03:04").first()[0]
+    assert "### 案例 1：合并 — c0, c1" in text and "| 极限论 | 7 | c0, c1, c2, c3, c4... |\n| Introd | 1 | c7 |" in text and "**置信度**: 0.88" in text and "**理由**: same" in text and "生成时间：2026-01-02 03:04" in text and "保留 0 / 0" in text
+    assert "（无合并案例）" in g.report(g.stats(n, n, d.limit(0)), cov, d.limit(0), g.completeness(n, n, d)).first()[0]
     o = spark.createDataFrame([("merge_0001", "keep", None)], "decision_id string, action string, result_node string")
     assert by_hand(g.overridden(d, o).select("action")) == [("keep",)]
     e = spark.createDataFrame([("b", "n0", "n1", "contains", "")], "textbook_id string, source string, target string, relation_type string, description string")
     got = g.graph_rows(n, e).collect()
     assert len(got) == 9 and [r.json for r in got if r.kind == "edge"] == ['{"source":"n0","target":"n1","relation_type":"contains","description":""}']
+
+
+def test_every_node_that_goes_has_a_decision(spark):
+    rows = [("s2", "B", "x" * 10, "补充"), ("s1", "A", None, "补充"), ("c", "C", "y" * 50, "关键"), *[(f"i{k}", f"N{k}", "z" * 150, "重要") for k in range(6)]]
+    kept = spark.createDataFrame(rows, "id string, name string, definition string, importance_level string")
+    final, told = g.budget(kept, 1000, 7)
+    got = {r.decision_id: r for r in told.collect()}
+    # 50 + 900 of 1,000 are over, so are 50 + 600; three important ones go until 50 + 200 are left
+    assert sorted(got) == ["compress_important_0009", "purge_supp_0007", "purge_supp_0008", "trim_important_0010", "trim_important_0011", "trim_important_0012", "trim_important_0013"]
+    assert got["purge_supp_0007"].affected_nodes == ["s1"] and got["purge_supp_0008"].affected_names == ["B"]
+    assert got["compress_important_0009"].action == "merge" and got["compress_important_0009"].affected_nodes == [f"i{k}" for k in range(5)] and got["compress_important_0009"].result_node is None
+    assert [got[f"trim_important_{k:04}"].affected_nodes[0] for k in range(10, 14)] == ["i5", "i4", "i3", "i2"] and got["trim_important_0010"].confidence == 0.85
+    assert by_hand(final.select("id", F.length("definition"))) == [("c", 50), ("i0", 100), ("i1", 100)]
+    n = kept.withColumn("textbook_id", F.lit("b"))
+    for intent, merges in ((True, 0), (False, 1)):
+        s = g.stats(n, final, told, intent).first()
+        assert (s.total_decisions, s.merge_count, s.keep_count, s.remove_count, s.merged_nodes) == (7, merges, 0, 6, 3)
+    final, told = g.budget(kept, 10**6)
+    assert told.count() == 2 and final.count() == 7
+
+
+def test_answers_of_a_judge(spark):
+    answers = ['so: {"is_same": true, "confidence": 0.95, "action": "merge", "best_source": "b", "reason": "r"} done', "no idea", '{"is_same": true', '{"action": "remove", "is_same": 1}', '{"action": "join", "is_same": true}', '{"action": "merge", "is_same": true, "confidence": 1.5}', '{"is_same": true, "action": "merge"}', None]
+    pairs = spark.createDataFrame([(f"a{i}", f"b{i}", i, i + 100, 0.9, "x", "y", t) for i, t in enumerate(answers)], "a string, b string, a_ord long, b_ord long, similarity double, a_name string, b_name string, raw string")
+    got = {r.a: r for r in g.parsed_judgements(pairs).collect()}
+    assert (got["a0"].is_same, got["a0"].confidence, got["a0"].action, got["a0"].best_source, got["a0"].reason) == (True, 0.95, "merge", "b", "r")
+    assert all((got[a].action, got[a].confidence, got[a].is_same) == ("keep", 0.5, False) and got[a].reason for a in ("a1", "a2", "a4", "a5", "a7"))
+    assert got["a3"].action == "remove" and got["a3"].is_same and got["a6"].confidence == 0.5 and got["a6"].best_source == "a"
+    d = {r.affected_nodes[0][1:]: r for r in g.decisions(g.parsed_judgements(pairs)).collect()}
+    assert d["0"].result_node == "b0" and d["3"].action == "keep" and d["6"].result_node == "a6"
+    nodes_ = spark.createDataFrame([("a0", "N", None, "t")], "id string, name string, definition string, textbook_id string")
+    asked = g.judge_prompts(pairs.where("a = 'a0'").drop("a_name", "b_name", "raw").withColumn("b", F.lit("a0")), nodes_).first()
+    assert asked.prompt == '{"node_a":{"name":"N","definition":null,"textbook":"t"},"node_b":{"name":"N","definition":null,"textbook":"t"},"similarity":0.9}'

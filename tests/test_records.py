@@ -47,3 +47,13 @@ def test_numbers_and_resolved_ends(spark):
     edges = spark.createDataFrame([("b", 1, "n1", "n1", "contains"), ("b", 0, "n1", "n2", "parallel")], "textbook_id string, batch_no int, source string, target string, relation_type string")
     assert by_hand(r.resolved_edges(edges, n).select("source", "target")) == [("b_n0001", "b_n0001"), ("b_n0001", "b_n0002")]
     assert r.token_estimate(raw(spark, "abc", "abcd")).first().tokens == 3
+
+
+def test_answers_about_whole_chapters(spark):
+    items = [{"id": "k", "name": "A", "category": "定理/定律", "page": 4}, {"name": "B"}, {"id": "z"}, {"id": "y", "name": "C", "category": "?"}, {"id": "x", "name": "D", "definition": None}, {"id": "w", "name": "E", "page": 1.5}]
+    edges = [{"source": "k", "target": "node_001"}, {"source": "k", "target": "y"}, {"source": "k", "target": "k", "relation_type": "odd"}, {"source": "node_001", "target": "k", "relation_type": "contains", "description": "d" * 90}, {"source": "k"}]
+    answers = raw(spark, {"nodes": items, "edges": edges}, "nothing", {"nodes": [{"id": "other", "name": "O"}], "edges": [{"source": "k", "target": "other"}]})
+    nodes = r.legacy_nodes(answers)
+    assert by_hand(nodes.select("batch_no", "id", "name", "definition", "category", "page")) == [(0, "k", "A", "", "定理/定律", 4), (0, "node_001", "B", "", "核心概念", 7), (2, "other", "O", "", "核心概念", 7)]
+    assert by_hand(r.legacy_edges(answers, nodes).select("source", "target", "relation_type", "description")) == [("k", "node_001", "parallel", ""), ("node_001", "k", "contains", "d" * 90)]
+    assert [x.ok for x in answers.select("batch_no", r.is_answer("raw").alias("ok")).orderBy("batch_no").collect()] == [True, False, True]
