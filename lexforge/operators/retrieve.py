@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.functions.text import citation, strip
-from lexforge.operators.chunks import RETRIEVAL, Rule, chunk, page_by_share
+from lexforge.functions.text import chunk_document, citation, page_mark, strip, without_page_marks
+from lexforge.operators.chunks import PAGES, RETRIEVAL, Rule, chunk, page_by_share
+from lexforge.operators.prefix import last_known
 from lexforge.operators.similarity import best_per_key, top_per_question
 
 
@@ -35,7 +36,7 @@ def batch_pages(batches: DataFrame) -> DataFrame:
 
 
 def answer_contexts(questions: DataFrame, chunks: DataFrame, dim: int, top: int = 5) -> DataFrame:
-    """qid, context and citations of the best chunks, one for each chapter, out of twice as many.
+    """qid, context, citations and source_chunks of the best chunks, one for each chapter, out of twice as many.
 
     ``chunks`` has ord, text, textbook_name, chapter_title, page_start and embedding.
     """
@@ -43,11 +44,41 @@ def answer_contexts(questions: DataFrame, chunks: DataFrame, dim: int, top: int
     found = best_per_key(top_per_question(questions, keyed, dim, 2 * top), top)
     full = found.join(chunks.drop("embedding"), "ord")
     cited = citation(F.col("textbook_name"), F.col("chapter_title"), F.col("page_start"))
-    entry = F.struct("place", F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), "text").alias("t"), cited.alias("c"), F.round("score", 4).alias("score"))
+    entry = F.struct("place", F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), chunk_document(F.col("textbook_name"), F.col("chapter_title"), F.col("page_start"), F.col("text"))).alias("t"), F.col("text").alias("x"), cited.alias("c"), F.round("score", 4).alias("score"))
     got = full.groupBy("qid").agg(F.array_sort(F.collect_list(entry)).alias("x"))
-    return got.select("qid", F.array_join(F.transform("x", lambda s: s["t"]), "\n\n---\n\n").alias("context"), F.transform("x", lambda s: F.struct(s["c"].alias("citation"), s["score"].alias("relevance_score"))).alias("citations"))
+    return got.select("qid", F.array_join(F.transform("x", lambda s: s["t"]), "\n\n---\n\n").alias("context"), F.transform("x", lambda s: F.struct(s["c"].alias("citation"), s["score"].alias("relevance_score"))).alias("citations"), F.transform("x", lambda s: s["x"]).alias("source_chunks"))
 
 
 def index_status(chunks: DataFrame, model: str = "hashed") -> DataFrame:
     """Books by title, chunks, and the model's name."""
     return chunks.agg(F.countDistinct("textbook_name").alias("indexed_books"), F.count("*").alias("total_chunks")).withColumn("embedding_model", F.lit(model))
+
+
+def page_chunks(texts: DataFrame, rule: Rule = PAGES, intent: bool = True) -> DataFrame:
+    """book, chunk_no, text and page of the chunks of texts with page marks.
+
+    ``texts`` has book and text. The page is that of the first mark in the chunk; a chunk
+    without one has page 0 as observed, and with ``intent`` the page of the last mark
+    before it.
+    """
+    cut = chunk(texts.where("text is not null"), "text", rule, ["book"])
+    rows = cut.select("book", "chunk_no", F.col("chunk").alias("text"), page_mark(F.col("chunk")).alias("page"))
+    if not intent:
+        return rows
+    last = F.regexp_extract_all("text", F.lit(r"(?U)\[第(\d+)页\]"), F.lit(1))
+    marked = F.when(F.col("page") > 0, F.element_at(last, -1).try_cast("int"))
+    told = last_known(rows, "book", "chunk_no", marked, to="_at")
+    return told.select("book", "chunk_no", "text", F.when(F.col("page") > 0, F.col("page")).otherwise(F.coalesce("_at", F.lit(0))).alias("page"))
+
+
+def page_contexts(questions: DataFrame, chunks: DataFrame, dim: int, top: int = 5) -> DataFrame:
+    """qid, context and pages of the best chunks, one for each page, out of twice as many.
+
+    ``chunks`` has ord, text, page and embedding.
+    """
+    keyed = chunks.withColumn("key", F.col("page"))
+    found = best_per_key(top_per_question(questions, keyed, dim, 2 * top), top)
+    full = found.join(chunks.select("ord", "text", "page"), "ord")
+    entry = F.concat(F.lit("["), F.col("place").cast("string"), F.format_string("] (第%d页)\n", "page"), without_page_marks(F.col("text")))
+    got = full.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", entry.alias("t"), "page", F.round("score", 4).alias("score")))).alias("x"))
+    return got.select("qid", F.array_join(F.transform("x", lambda s: s["t"]), "\n\n---\n\n").alias("context"), F.transform("x", lambda s: F.struct(s["place"].alias("idx"), s["page"].alias("page"), s["score"].alias("score"))).alias("citations"))

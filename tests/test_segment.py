@@ -66,6 +66,30 @@ def test_statements(spark):
     assert by_hand(s.statements(rows, ["i"])) == [(1, "定义", "定义 1.2", "极限是一个数值概念"), (1, "定理", "定理 3", "有界数列必有收敛子列")]
 
 
-def test_choices(spark):
-    tree = spark.createDataFrame([([1], 0, None, "B"), ([1, 1], 1, "b", "C"), ([1, 2], 1, "b", "D")], "path array<int>, depth int, parent_id string, name string")
-    assert [r.label for r in b.choices(tree, children=1).collect()] == ["📚 B", "📖 C"]
+def test_books_without_headings_are_one_chapter(spark):
+    rows = [("t", p, 0, f"text of page {p} without any heading", 10.0, False) for p in range(3)] + [("t", 1, 1, "12", 10.0, False)]
+    total = spark.createDataFrame([("t", 3, "T"), ("empty", 2, "E")], "textbook_id string, total_pages int, book_title string")
+    got = by_hand(s.pdf_chapters(page_lines(spark, rows), total).select("textbook_id", "chapter_id", "title", "page_start", "page_end", "content"))
+    assert got == [("empty", "ch_01", "E", 1, 2, ""), ("t", "ch_01", "T", 1, 3, "\n".join(f"text of page {p} without any heading" for p in range(3)))]
+
+
+def test_sections_of_pages_with_ties_nulls_and_many_rows(spark):
+    pages = spark.createDataFrame([("b", p, p % 3) for p in range(1, 400)] + [("b", 5, 9), ("b", 5, 9), (None, 3, 0), ("b", None, 0), ("c", 1, 0)], "book string, page int, x int")
+    sections = spark.createDataFrame([("b", 1, 3, "s1"), ("b", 2, 5, "s2"), ("b", 3, 5, "s3"), ("b", 4, None, "no"), ("b", 5, 200, None)], "book string, ord int, page int, title string")
+    got = s.pages_to_sections(pages, sections).collect()
+    assert len(got) == 404
+    want = lambda r: None if r.book != "b" or r.page is None or r.page < 3 else 1 if r.page < 5 else 3 if r.page < 200 else 5
+    assert all(r.sec_ord == want(r) for r in got) and {r.sec_title for r in got if r.sec_ord == 3} == {"s3"}
+
+
+def test_outline_shown_as_choices_rows_and_lists(spark):
+    rows = [("b", None, [], 0, "B", None), ("c", "b", [1], 1, "C", None), ("s", "c", [1, 2], 2, "S", None), ("i", "s", [1, 2, 0], 3, "I", "总结"), ("d", "b", [5], 1, "D" * 80, "定理")]
+    tree = spark.createDataFrame(rows, "node_id string, parent_id string, path array<int>, depth int, name string, type string")
+    assert [r.label for r in b.choices(tree).orderBy("path").collect()] == ["📘 C", "  📄 S", "    📌 I", "📘 " + "D" * 80]
+    assert b.choices(tree, most=2).count() == 2
+    assert {r.label for r in b.shown_children(tree, children=1).collect()} == {"B", "C", "S", "📝 I"}
+    assert {r.label for r in b.shown_children(tree).collect()} == {"B", "C", "S", "📝 I", "🔴 " + "D" * 60}
+    assert by_hand(b.selector(tree).select("label", "chapter", "section")) == [("  I", "C", "S"), (" S", "C", "S")]
+    books = spark.createDataFrame([(f"b{i}", f"T{i}", i, 10) for i in range(6)], "textbook_id string, title string, total_pages int, total_chars long")
+    assert b.overview(books).first().titles == "T0, T1, T2, T3..." and b.overview(books.where("textbook_id < 'b2'")).first().titles == "T0, T1"
+    assert b.graph_data((1, 2), None, None) == (1, 2) and b.graph_data(None, books, books)[0].first().textbook == "b0"

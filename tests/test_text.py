@@ -42,3 +42,12 @@ def test_vectors(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     got = by_hand(rows.select(F.round(v.cosine(F.col("a"), F.col("b")), 4), v.unit(F.col("a"))).orderBy("unit(a)") if False else rows.select(F.coalesce(F.round(v.cosine(F.col("a"), F.col("b")), 4), F.lit(-9.0))))
     assert got == [(-9.0,), (0.7071,)]
+
+
+def test_labels_questions_and_unicode_forms(spark):
+    assert one(spark, t.clean_name, " \ufeff名\u200b ", "a") == ["名\u200b", "a"]
+    assert one(spark, t.choice_question, "  📄 极限", "", "📘 x") == ["请详细解释「极限」的内容，包括其数学表述和相关背景。", "", "请详细解释「x」的内容，包括其数学表述和相关背景。"]
+    assert one(spark, t.chapter_number, "第　十二　章", "第１２章", "CHAPTER　３") == [12, 12, 3]
+    assert one(spark, t.is_footer, "１２", "第　３　页", "x１") == [True, True, False]
+    assert one(spark, t.page_mark, "a[第１２页]b", "none") == [12, 0]
+    assert one(spark, t.json_body, '```python {"a": 1}```', '``` {"b": 2}\n```') == ['{"a": 1}', '{"b": 2}']
