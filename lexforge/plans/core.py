@@ -89,6 +89,11 @@ SQL = {
   coalesce(b.n, 0) AS n_descendants, r.cycle_id FROM paths p LEFT JOIN ups u ON u.child = p.node_id LEFT JOIN below b USING (node_id) LEFT JOIN part r USING (node_id)""",
     "p3_descendants": f"""{_TREE}, places AS (SELECT node_id, path, unnest(range(1, len(path))) AS i FROM paths)
 SELECT path[i] AS ancestor_id, node_id, CAST(len(path) - i AS INTEGER) AS distance FROM places""",
+    "p3_all_descendants": f"""WITH RECURSIVE {_LINKS}, reach AS (SELECT parent AS a, child AS b FROM links UNION SELECT r.a, l.child FROM reach r JOIN links l ON l.parent = r.b)
+SELECT a AS ancestor_id, b AS node_id FROM reach WHERE a <> b""",
+    "p3_descendant_counts": f"""WITH RECURSIVE {_LINKS}, reach AS (SELECT parent AS a, child AS b FROM links UNION SELECT r.a, l.child FROM reach r JOIN links l ON l.parent = r.b),
+nodes_ AS (SELECT parent AS node_id FROM links UNION SELECT child FROM links)
+SELECT node_id, count(b) AS n_descendants FROM nodes_ LEFT JOIN reach ON a = node_id AND a <> b GROUP BY 1""",
     "p3_found": f"""WITH RECURSIVE {_LINKS},
 reach AS (SELECT parent AS a, child AS b FROM links UNION SELECT r.a, l.child FROM reach r JOIN links l ON l.parent = r.b),
 ring AS (SELECT a AS node_id FROM reach WHERE a = b)
