@@ -4,19 +4,26 @@ Every round rakes the nodes at which links end (no child, or no parent) and
 compresses chains of nodes with one parent and one child. What can't be contracted
 further is a core of cycles; chains of cycles shrink to loops on the way. Reversing
 the recorded rounds gives paths, so the number of rounds grows with the logarithm of
-the depth and not with the depth.
+the depth and not with the depth. The strongly connected parts of a small core are
+found by one task, those of a large one by colours spread over all tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.session import cut, cut_counted
-
+from lexforge.session import cut, cut_counted, ship
 
 #: Rakes of one round of contraction.
 RAKES = 2
+#: Links that one task may take to find parts of what contraction leaves; more are gone through by all tasks, to the same result.
+ONE_TASK = 500_000
+#: Sets of new paths that are looked through before they become one table.
+PATH_SETS = 6
 
 
 def clean_links(links: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
@@ -35,12 +42,15 @@ def _unary(links: DataFrame, turn: int) -> DataFrame:
     return unary.join(above, "up", "left").join(below, "down", "left").select("node", "up", (lower[0] & lower[1]).alias("goes"))
 
 
-def _bypass(links: DataFrame, unary: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _marked(links: DataFrame, unary: DataFrame) -> DataFrame:
+    """Links with a mark at those that lead to a node that goes."""
+    return links.join(unary.where("goes").select(F.col("node").alias("child"), F.lit(True).alias("gone")), "child", "left").select("parent", "child", "via", "gone")
+
+
+def _bypass(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links with the marked nodes taken out, and a record (node, up, via) of each of them."""
-    goes = unary.where("goes")
-    out = links.join(goes.select(F.col("node").alias("child"), F.lit(True).alias("gone")), "child", "left")
-    above = out.where("gone").select(F.col("parent").alias("new_parent"), F.col("child").alias("parent"), F.col("via").alias("above_via"))
-    rest = out.where("gone is null").select("parent", "child", "via").join(above, "parent", "left")
+    above = marked.where("gone").select(F.col("parent").alias("new_parent"), F.col("child").alias("parent"), F.col("via").alias("above_via"))
+    rest = marked.where("gone is null").select("parent", "child", "via").join(above, "parent", "left")
     joined = rest.select(
         F.coalesce("new_parent", "parent").alias("parent"),
         "child",
@@ -55,18 +65,24 @@ def _with_via(links: DataFrame) -> DataFrame:
 
 def _contract_forest(links: DataFrame) -> list[DataFrame]:
     """Contract trees to nothing; each step's record of the nodes it took out, in order."""
-    taken, turn = [], 0
-    live, left = cut_counted(_with_via(links))
-    while left:
-        inner = live.select(F.col("parent").alias("child")).distinct()
-        marked = cut(live.join(inner.withColumn("inner", F.lit(True)), "child", "left"))
-        taken.append(marked.where("inner is null").select(F.col("child").alias("node"), F.col("parent").alias("up"), "via"))
-        kept = marked.where("inner").select("parent", "child", "via")
-        joined, records = _bypass(kept, cut(_unary(kept, turn)))
-        taken.append(cut(records))
-        live, left = cut_counted(joined)
+    taken, turn, live = [], 0, _with_via(links)
+    while True:
+        # the rake in which a link comes off, if any
+        raked = live.withColumn("step", F.lit(None).cast("int"))
+        for k in range(RAKES):
+            inner = raked.where("step is null").select(F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
+            raked = raked.join(inner, "child", "left").withColumn("step", F.when(F.col("step").isNull() & F.col("inner").isNull(), F.lit(k)).otherwise(F.col("step"))).drop("inner")
+            if k == 0:
+                raked, left = cut_counted(raked)
+                if not left:
+                    return taken
+        raked = cut(raked)
+        taken += [raked.where(F.col("step") == k).select(F.col("child").alias("node"), F.col("parent").alias("up"), "via") for k in range(RAKES)]
+        kept = raked.where("step is null").select("parent", "child", "via")
+        marked = cut(_marked(kept, _unary(kept, turn)))
+        live, records = _bypass(marked)
+        taken.append(records)
         turn += 1
-    return taken
 
 
 def _contract_graph(links: DataFrame) -> tuple[DataFrame, int, DataFrame | None]:
@@ -79,17 +95,92 @@ def _contract_graph(links: DataFrame) -> tuple[DataFrame, int, DataFrame | None]
             inner, fed = kept.select(F.col("parent").alias("child")).distinct(), kept.select(F.col("child").alias("parent")).distinct()
             kept = kept.join(inner, "child", "left_semi").join(fed, "parent", "left_semi").select("parent", "child", "via")
         kept, stay = cut_counted(kept)
-        merged, links_left = cut_counted(_bypass(kept, _unary(kept, turn))[0].groupBy("parent", "child").agg(F.array_distinct(F.flatten(F.collect_list("via"))).alias("via")))
-        if links_left == stay == left:
+        merged = cut(_bypass(_marked(kept, _unary(kept, turn)))[0].groupBy("parent", "child").agg(F.array_distinct(F.flatten(F.collect_list("via"))).alias("via")))
+        rings = merged.where("parent = child").select(F.col("parent").alias("node"), "via")
+        counts = merged.agg(F.count("*").alias("all"), F.count_if(F.col("parent") == F.col("child")).alias("rings")).first()
+        if counts["all"] == stay == left:
             # links are distinct, and of any unary nodes one at least would have gone
             return kept, left, loops
-        rings = cut(merged.where("parent = child").select(F.col("parent").alias("node"), "via"))
-        loops = rings if loops is None else loops.unionByName(rings)
-        live, left = cut_counted(merged.where("parent <> child"))
+        if counts["rings"]:
+            loops = rings if loops is None else loops.unionByName(rings)
+        live, left = merged.where("parent <> child"), counts["all"] - counts["rings"]
         turn += 1
     return live, left, loops
 
 
+def _in_one_task(rows: DataFrame, find: Callable[[list, list], list[tuple[str, str]]], names: tuple[str, str]) -> DataFrame:
+    """Both columns of few rows to one task, and the pairs that it finds."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for batch in batches:
+            a += batch.column(0).to_pylist()
+            b += batch.column(1).to_pylist()
+        found = find(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.string())], list(names))
+
+    return cut(rows.repartition(1).mapInArrow(run, f"{names[0]} string, {names[1]} string"))
+
+
+def _parts_of(parents: list[str], children: list[str]) -> list[tuple[str, str]]:
+    """Node and smallest node of its strongly connected part, of parts with two nodes or more; by depth-first search with a stack of its own."""
+    names = sorted({*parents, *children})
+    at = {n: i for i, n in enumerate(names)}
+    out: list[list[int]] = [[] for _ in names]
+    for p, c in zip(parents, children, strict=True):
+        out[at[p]].append(at[c])
+    seen, low, open_, stack, found = [-1] * len(names), [0] * len(names), [False] * len(names), [], []
+    count = 0
+    for root in range(len(names)):
+        if seen[root] >= 0:
+            continue
+        todo = [(root, 0)]
+        while todo:
+            v, k = todo.pop()
+            if k == 0:
+                seen[v] = low[v] = count
+                count += 1
+                stack.append(v)
+                open_[v] = True
+            else:
+                low[v] = min(low[v], low[out[v][k - 1]])
+            for j in range(k, len(out[v])):
+                w = out[v][j]
+                if seen[w] < 0:
+                    todo += [(v, j + 1), (w, 0)]
+                    break
+                if open_[w]:
+                    low[v] = min(low[v], seen[w])
+            else:
+                if low[v] == seen[v]:
+                    part = []
+                    while not part or part[-1] != v:
+                        part.append(stack.pop())
+                        open_[part[-1]] = False
+                    if len(part) > 1:
+                        first = names[min(part)]
+                        found += [(names[w], first) for w in part]
+    return found
+
+
+def _groups_of(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """Smallest name of a group and each of its names, of names linked directly or by others."""
+    top: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            top[max(x, y)] = min(x, y)
+    return [(find(x), x) for x in list(top)]
+
+
 def cycles(links: DataFrame) -> DataFrame:
     """cycle_id and node_id of every node from which links lead back to itself.
 
@@ -115,7 +206,9 @@ def cycles(links: DataFrame) -> DataFrame:
 
 def _merge_parts(pairs: DataFrame) -> DataFrame:
     """Rings that share a node are one; the smallest node names it."""
-    ids = cut(pairs.distinct())
+    ids, count = cut_counted(pairs.distinct())
+    if count <= ONE_TASK:
+        return _in_one_task(ids.select("at", "node"), _groups_of, ("cycle_id", "node_id"))
     links = ids.select(F.col("at").alias("a"), F.col("node").alias("b"))
     label = cut(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("label", F.col("node")))
     both = cut(links.union(links.select("b", "a")).distinct())
@@ -132,10 +225,13 @@ def _merge_parts(pairs: DataFrame) -> DataFrame:
 def strong_parts(links: DataFrame) -> DataFrame:
     """node and part (its smallest node) of strongly connected parts with at least two nodes.
 
-    Colours are the smallest node that leads to a node; of each colour the nodes that
-    lead back to it are one part. Found parts leave, and the rest goes on.
+    Few links are gone through by one task. Of more, colours are the smallest node that
+    leads to a node; of each colour the nodes that lead back to it are one part. Found
+    parts leave, and the rest goes on.
     """
-    live = cut(links.select("parent", "child").where("parent <> child").distinct())
+    live, count = cut_counted(links.select("parent", "child").where("parent <> child").distinct())
+    if count <= ONE_TASK:
+        return _in_one_task(live, _parts_of, ("node", "part"))
     found = live.select(F.col("parent").alias("node"), F.col("child").alias("part")).limit(0)
     while not live.isEmpty():
         colour = cut(live.select(F.col("parent").alias("node")).union(live.select("child")).distinct().withColumn("colour", F.col("node")))
@@ -163,6 +259,13 @@ def strong_parts(links: DataFrame) -> DataFrame:
     return found
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def hierarchy(links: DataFrame) -> DataFrame:
     """One row per node: node_id, parent_id, n_parents, root_id, depth, path, n_descendants, cycle_id.
 
@@ -181,10 +284,15 @@ def hierarchy(links: DataFrame) -> DataFrame:
     tree = cut(ups.join(ring.select(F.col("node_id").alias("child")), "child", "left_anti").select("child", F.col("best.p").alias("parent")))
     taken = _contract_forest(tree)
     roots = nodes.join(tree.select(F.col("child").alias("node_id")), "node_id", "left_anti")
-    paths = cut(roots.select("node_id", F.array("node_id").alias("path")))
+    known = [cut(roots.select("node_id", F.array("node_id").alias("path")))]
     for records in reversed(taken):
-        more = records.join(paths.withColumnRenamed("node_id", "up"), "up").select(F.col("node").alias("node_id"), F.concat("path", "via", F.array("node")).alias("path"))
-        paths = cut(paths.unionByName(more))
+        paths = _union(known)
+        more, count = cut_counted(records.join(paths.withColumnRenamed("node_id", "up"), "up").select(F.col("node").alias("node_id"), F.concat("path", "via", F.array("node")).alias("path")))
+        if count:
+            known.append(more)
+        if len(known) > PATH_SETS:
+            known = [cut(_union(known))]
+    paths = _union(known)
     below = paths.select(F.explode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("below"))
     return (
         paths.join(below, "node_id", "left")

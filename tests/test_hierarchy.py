@@ -117,3 +117,13 @@ def test_all_descendants_of_the_small_tables(spark, small):
 
     pairs = [tuple(r) for r in core.contains_links(spark, small).collect() if r.parent is not None and r.child is not None]
     assert by_hand(core.p3_all_descendants(spark, small)) == sorted(below_all(pairs))
+
+
+def test_cores_too_large_for_one_task_give_the_same(spark, monkeypatch):
+    rng = random.Random(11)
+    links = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(110)] + [(f"c{i}", f"c{(i + 1) % 9}") for i in range(9)] + [(f"c{i}", f"d{i}") for i in range(9)]
+    frame = spark.createDataFrame(links, "parent string, child string")
+    want = by_hand(h.cycles(frame))
+    assert len(want) > 15
+    monkeypatch.setattr(h, "ONE_TASK", 0)
+    assert by_hand(h.cycles(frame)) == want
