@@ -81,6 +81,14 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return kinds, lower
 
 
+@lru_cache(maxsize=16)
+def _among(chars: str) -> np.ndarray:
+    """Which code points that fit in two bytes are among some characters."""
+    out = np.zeros(65536, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
 @lru_cache(maxsize=64)
 def _powers(count: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[1], np.full(count - 1, 1_000_003)]).astype(np.uint64))
@@ -97,7 +105,6 @@ def word_hash(word: str) -> int:
 
 
 _FUNCTION_HASHES = np.array(sorted(word_hash(w) for w in FUNCTION_WORDS), np.uint64)
-_FUNCTION_CODES = np.array([ord(c) for c in FUNCTION_CHARS])
 
 
 class Points:
@@ -110,7 +117,8 @@ class Points:
         self.code = raw.astype(np.int64)
         kinds, lower = _tables()
         high = np.flatnonzero(raw > 65535)
-        near = np.where(raw > 65535, 0, raw)
+        # larger code points stand as 0 where tables are looked up
+        self.near = near = np.where(raw > 65535, 0, raw).astype(np.uint16)
         self.lower, self.kind = lower[near], kinds[near]
         if len(high):
             points, which = np.unique(raw[high], return_inverse=True)
@@ -123,7 +131,7 @@ class Points:
         self.count = len(texts)
 
     def per_doc(self, mask: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(mask.astype(np.int64), self.start)
+        return np.add.reduceat(mask, self.start, dtype=np.int64)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Document and bucket of every two characters of a script without blanks that stand together."""
@@ -189,7 +197,7 @@ def statistics(texts: list[str], common: np.ndarray) -> dict[str, np.ndarray]:
     pd_, pb = p.pairs()
     pairs = np.bincount(pd_, minlength=p.count)
     known = np.bincount(pd_, common[:BUCKETS][pb], p.count) + np.bincount(wd, common[BUCKETS:][_bucket(wh)], p.count)
-    function = p.per_doc(np.isin(p.code, _FUNCTION_CODES)) + np.bincount(wd, np.isin(wh, _FUNCTION_HASHES), p.count)
+    function = p.per_doc(_among(FUNCTION_CHARS)[p.near]) + np.bincount(wd, np.isin(wh, _FUNCTION_HASHES), p.count)
     # letters of the scripts whose common words are listed
     written = p.per_doc((kind == _HAN) | (kind == _LATIN))
     listed = p.per_doc(((p.code >= 0x4E00) & (p.code < 0xA000)) | ((p.lower >= 97) & (p.lower <= 122)))
@@ -202,12 +210,12 @@ def statistics(texts: list[str], common: np.ndarray) -> dict[str, np.ndarray]:
     lines = np.maximum(np.bincount(of, minlength=p.count), 1)
     solid_at = np.flatnonzero((kind != _SPACE) & (kind != _LINE))
     begin, end = solid_at[dense[first]], solid_at[dense[last] - 1]
-    closes = np.isin(p.code[end], [ord(c) for c in ENDS + "”」）)："])
-    coded = np.isin(p.code[end], [ord(c) for c in ";{}>)"]) & np.isin(p.kind[begin], [_LATIN, _SYMBOL, _OTHER])
+    closes = _among(ENDS + "”」）)：")[p.near[end]]
+    coded = _among(";{}>)")[p.near[end]] & np.isin(p.kind[begin], [_LATIN, _SYMBOL, _OTHER])
     after = p.kind[np.minimum(begin + 1, len(kind) - 1)]
-    marked = np.isin(p.code[begin], [ord(c) for c in MARKS]) & (after == _SPACE)
+    marked = _among(MARKS)[p.near[begin]] & (after == _SPACE)
     marked |= ((kind[begin] == _DIGIT) | (p.code[begin] == 40)) & _numbered(p, begin)
-    cell = np.isin(p.code, [ord(c) for c in CELLS + ","]) | ((kind == _SPACE) & (np.concatenate([kind[1:], [_LINE]]) == _SPACE))
+    cell = _among(CELLS + ",")[p.near] | ((kind == _SPACE) & (np.concatenate([kind[1:], [_LINE]]) == _SPACE))
     cells = np.concatenate([[0], np.cumsum(cell)])
     in_line = cells[end] - cells[begin]
     text_hash = np.concatenate([[0], np.cumsum(p.code * 2_654_435_761 % 1_000_000_007)])
@@ -221,7 +229,9 @@ def statistics(texts: list[str], common: np.ndarray) -> dict[str, np.ndarray]:
     pick = np.flatnonzero(inside)
     windows = np.bincount(doc[pick], minlength=p.count)
     unlike = _distinct(doc[pick], roll[pick].astype(np.int64), p.count)
-    tags = p.per_doc((p.code == 60) & np.isin(np.concatenate([kind[1:], [_LINE]]), [_LATIN]) | (p.code == 60) & (np.concatenate([p.code[1:], [0]]) == 47))
+    opens = np.flatnonzero(p.near == 60)
+    after = np.minimum(opens + 1, len(kind) - 1)
+    tags = np.bincount(doc[opens[(kind[after] == _LATIN) | (p.near[after] == 47)]], minlength=p.count)
     nan = lambda a, b, other: np.where(b > 0, a / np.maximum(b, 1), other)
     return {
         "n_chars": p.size.astype(float),
@@ -243,7 +253,7 @@ def statistics(texts: list[str], common: np.ndarray) -> dict[str, np.ndarray]:
         "tag_share": 100 * tags / some,
         "code_line_share": np.bincount(of, coded, p.count) / lines,
         "listed_share": nan(listed, written, 1.0),
-        "code_share": p.per_doc(np.isin(p.code, [ord(c) for c in CODE])) / some,
+        "code_share": p.per_doc(_among(CODE)[p.near]) / some,
     }
 
 
@@ -263,13 +273,16 @@ def _numbered(p: Points, begin: np.ndarray) -> np.ndarray:
 
 
 def _distinct(group: np.ndarray, value: np.ndarray, count: int) -> np.ndarray:
-    """Number of distinct values in each group."""
+    """Number of distinct values in each group; values are mixed so that group and value sort as one number."""
     if not len(group):
         return np.zeros(count)
-    order = np.lexsort((value, group))
-    g, v = group[order], value[order]
-    new = np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])])
-    return np.bincount(g[new], minlength=count).astype(float)
+    bits = np.uint64(max(1, int(count - 1).bit_length()))
+    mixed = value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    key = np.sort(((mixed >> bits) << bits) | group.astype(np.uint64))
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    return np.bincount((key[new] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), minlength=count).astype(float)
 
 
 #: Labelling functions: a threshold on statistics, and for each kind how often it should hold, from which learning starts.
