@@ -609,6 +609,39 @@ def _both(run: Callable) -> Callable:
     return checked
 
 
+def _placed(rest: DataFrame, known: DataFrame, foreign: set[str]) -> DataFrame:
+    """Rows without a usable vector with their concept, by the rules of smaller names.
+
+    A row goes where its wording stands (in the longest clean definition of the concept),
+    or else with most rows of its book, or else to the largest concept that its
+    definition may belong to by its topic. A row that none of these places is a concept
+    by its wording; without any vector in the name the first concept takes all.
+    """
+
+    @F.pandas_udf("struct<plain: string, trust: double, said: boolean, on_topic: boolean>")
+    def read(definition: pd.Series, name: pd.Series) -> pd.DataFrame:
+        values = [judge(d, foreign) for d in definition]
+        return pd.DataFrame({"plain": [v.plain for v in values], "trust": [v.trust for v in values], "said": [len(v.plain) >= CLAUSE_CHARS for v in values], "on_topic": [_topical(n, v.plain) >= ON_TOPIC for n, v in zip(name, values, strict=True)]})
+
+    @F.pandas_udf("boolean")
+    def related(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_related(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    asked, told = cut(rest.withColumn("r", read("definition", "name"))), known.withColumn("r", read("definition", "name"))
+    heads = cut(told.groupBy("key", "concept").agg(F.max_by("r.plain", F.struct("r.trust", F.length("r.plain"), "r.plain")).alias("rep"), F.countDistinct("id").alias("n"), F.bool_or(F.col("r.said") & F.col("r.on_topic")).alias("on"), F.bool_or(F.col("r.said") & ~F.col("r.on_topic")).alias("off")))
+    most = lambda c: F.max_by("concept", F.struct(c, -F.col("concept")))
+    # each wording once, against one text a concept
+    texts = asked.where("r.said").select("key", F.col("r.plain").alias("plain")).distinct()
+    wording = texts.join(heads.where("rep <> ''"), "key").where(related("plain", "rep")).groupBy("key", "plain").agg(most("n").alias("by_wording"))
+    book = known.where("textbook_id is not null").groupBy("key", "textbook_id", "concept").agg(F.countDistinct("id").alias("n")).groupBy("key", "textbook_id").agg(most("n").alias("by_book"))
+    fits = lambda mine, other: F.max_by(F.when(F.col(mine) | ~F.col(other), F.col("concept")), F.when(F.col(mine) | ~F.col(other), F.struct("n", -F.col("concept"))))
+    topic = heads.groupBy("key").agg(fits("on", "off").alias("if_on"), fits("off", "on").alias("if_off"), most("n").alias("largest"))
+    rows = asked.withColumn("plain", F.when(F.col("r.said"), F.col("r.plain"))).join(wording, ["key", "plain"], "left").join(book, ["key", "textbook_id"], "left").join(topic, "key", "left")
+    by_topic = F.when(~F.col("r.said"), F.col("largest")).when(F.col("r.on_topic"), F.col("if_on")).otherwise(F.col("if_off"))
+    alone = F.when(F.col("largest").isNull(), F.lit(0)).otherwise(-1 - F.abs(F.hash("r.plain") % F.lit(1 << 30)))
+    return rows.withColumn("concept", F.coalesce("by_wording", "by_book", by_topic, alone).cast("int")).drop("r", "plain", "by_wording", "by_book", "if_on", "if_off", "largest")
+
+
 def _large(rows: DataFrame, foreign: set[str], block: int, dim: int) -> DataFrame:
     """Groups larger than a block: concepts by components, consensus by blocks, and the survivor by distance."""
     rows = cut(rows)
@@ -616,9 +649,7 @@ def _large(rows: DataFrame, foreign: set[str], block: int, dim: int) -> DataFram
     size = F.sqrt(good)
     rows = rows.withColumn("v", F.when((F.size("embedding") == dim) & (size > 0) & (size < float("inf")), F.transform("embedding", lambda x: x / size)))
     known = _components(rows.where("v is not null"), block)
-    # those without a usable vector go with their book, or else with the first concept
-    books = known.groupBy("key", "textbook_id").agg(F.min("concept").alias("of_book"))
-    rest = rows.where("v is null").join(books, ["key", "textbook_id"], "left").withColumn("concept", F.coalesce("of_book", F.lit(0))).drop("of_book")
+    rest = _placed(rows.where("v is null"), known, foreign)
     rows = known.unionByName(rest)
     rows = cut(rows.drop("v").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     parts = cut(rows.groupBy("key", "block").applyInArrow(_per_block(foreign, False, dim), _OUT))

@@ -140,3 +140,20 @@ def test_concepts_of_a_large_group_are_components_as_in_a_small_one(spark, monke
     assert sorted(n for _, _, n in want) == [7, 9]
     assert found(spark, rows, block=4) == want
     assert found(spark, rows * 2, block=4) == want
+
+
+def test_records_without_a_vector_go_where_they_go_in_a_small_name(spark):
+    name = "细胞核复制模型"
+    one = f"{name}是指细胞核在复制过程中形成的模型，其数值一般为93.1小时。线粒体缓冲一旦受到外界干扰，干涉过程就会中断。"
+    two = f"{name}：衡量编译器程度的准则，取值越大说明总线越明显，临界值为324.9。它在后续章节中还会反复出现。"
+    rows = [node(f"a{i}", one, book="p") for i in range(7)] + [node(f"b{i}", two, book="q", vector=W) for i in range(5)]
+    rows += [
+        node("c1", two[:60], book="p", vector=None),  # the wording of the second, though the book of the first
+        node("c2", "TODO", book="q", vector=None),  # nothing said: the book
+        node("c3", None, book="z", vector=[0.0, 0.0, 0.0]),  # nothing at all: the largest
+        node("c4", "细胞核的复制由模型描述，这是另一种说法，内容与前文都不同。", book="z", vector=None),  # on the topic
+        node("c5", "总线仲裁的编译准则在此不再赘述，请参阅其他章节的有关说明。", book=None, vector=None),  # off the topic
+    ]
+    want = found(spark, rows, block=1000)
+    assert want == [("a0", "a0", 9), ("b0", "b0", 8)]
+    assert found(spark, rows, block=4) == want
