@@ -110,7 +110,7 @@ def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_links(spark: SparkSession, d: str) -> DataFrame:
     """Every node with its class of equal embeddings, and how many others have a cosine of at least 0.90 with it."""
-    return neighbours.linked(node_vectors(spark, d), DIM, least=0.90, probes=16, margin=0.05)[0]
+    return neighbours.linked(node_vectors(spark, d), DIM, least=0.90, probes=16, margin=0.08)[0]
 
 
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
