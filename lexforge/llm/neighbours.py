@@ -322,7 +322,9 @@ def linked(vectors: DataFrame, dim: int, least: float, **options) -> tuple[DataF
     # fitted on the vectors as they lie in their files, so that a run repeats
     index = options.pop("index", None) or fit(vectors, dim)
     heads = keep(rows.groupBy("embedding").agg(F.min("id").alias("class_id"), F.count("*").alias("size")))
-    pairs = keep(search(heads.withColumnRenamed("class_id", "id"), dim, least=least, index=index, **options))
+    found = search(heads.withColumnRenamed("class_id", "id"), dim, least=least, index=index, **options)
+    # a link that one of two classes finds is one of both
+    pairs = keep(found.unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine")).groupBy("id", "other").agg(F.max("cosine").alias("cosine")))
     sizes = heads.select("class_id", "size")
     others = pairs.join(sizes.withColumnRenamed("class_id", "other"), "other").groupBy(F.col("id").alias("class_id")).agg(F.sum("size").alias("near"))
     told = heads.join(others, "class_id", "left").select("embedding", "class_id", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
