@@ -7,15 +7,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lexforge.session import ship
+from lexforge.session import cut, ship
 
 #: Rows of one block of the pair join, questions that go to every task, and questions that are scored at once.
 BLOCK, QUESTIONS, TOGETHER = 8192, 4096, 256
+#: Blocks of the pair join from which they rather grow, up to so many numbers; rows of a tile that fits the cache, and rows after which pairs are handed on.
+MOST_BLOCKS, LARGEST, TILE, STRIPE = 32, 1 << 22, (512, 256), 4096
 #: Rows for each pivot of the pair join, most pivots, and sampled rows for each of them.
 PER_PIVOT, MOST_PIVOTS, PIVOT_SAMPLE = 2048, 1024, 16
 #: Rows of a block of chunks that meets a block of questions.
@@ -33,9 +36,9 @@ def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return m[good] / size[good, None], rows[good]
 
 
-def _pivots(rows: DataFrame, dim: int, count: int, seed: int = 7) -> np.ndarray:
+def _pivots(rows: DataFrame, dim: int, total: int, count: int, seed: int = 7) -> np.ndarray:
     """Unit vectors around which the rows are put in cells; they decide how much is compared, never a result."""
-    total = max(1, rows.count())
+    total = max(1, total)
     wanted = count * PIVOT_SAMPLE
     got = rows.select("embedding").sample(min(1.0, 1.3 * wanted / total), seed=seed).limit(2 * wanted).toArrow()
     x = _unit_rows(got["embedding"], dim)[0] if got.num_rows else np.empty((0, dim))
@@ -50,93 +53,144 @@ def _pivots(rows: DataFrame, dim: int, count: int, seed: int = 7) -> np.ndarray:
     return centres
 
 
-def candidate_pairs(nodes: DataFrame, dim: int, least: float = 0.70) -> DataFrame:
-    """a, b, a_ord, b_ord, similarity of rows of different books with a cosine of at least the bound, the earlier first.
+def _body(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
 
-    ``nodes`` has id, book, ord (unique) and embedding. The join is exact. Rows lie in
-    cells around pivots; a row meets another cell only if the angle to its pivot, less
-    the cell's radius, is within the bound, so cells that can't hold a partner are never
-    compared. Vectors without structure have wide cells and are compared block by block.
-    Large cells are cut into blocks. Products in single precision choose, double decides.
-    """
-    ship(nodes.sparkSession)
-    rows = nodes.select("id", "book", "ord", "embedding").where("embedding is not null and book is not null")
+
+def _blocks(rows: DataFrame, dim: int) -> tuple[DataFrame, np.ndarray]:
+    """block and body, one row and one partition for each block of rows, sorted by cell and ord; and the pivots of the cells."""
     total = rows.count()
-    pivots = _pivots(rows, dim, int(min(MOST_PIVOTS, max(1, -(-total // PER_PIVOT)))))
-    angle = float(np.arccos(min(1.0, max(-1.0, least)))) + 1e-6
+    pivots = _pivots(rows, dim, total, int(min(MOST_PIVOTS, max(1, -(-total // PER_PIVOT)))))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far, held = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+        held = np.zeros(len(pivots), np.int64)
         for batch in batches:
             v, _ = _unit_rows(batch["embedding"], dim)
-            if len(v):
-                c = v @ pivots.T
-                own = c.argmax(1)
-                np.maximum.at(far, own, np.arccos(np.clip(c[np.arange(len(v)), own], -1, 1)))
-                held += np.bincount(own, minlength=len(pivots))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots))), pa.array(far), pa.array(held)], ["cell", "far", "held"])
+            held += np.bincount((v @ pivots.T).argmax(1), minlength=len(pivots))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots))), pa.array(held)], ["cell", "held"])
 
-    radius, blocks = np.zeros(len(pivots)), np.ones(len(pivots), np.int64)
-    for r in rows.select("embedding").mapInArrow(measure, "cell long, far double, held long").groupBy("cell").agg(F.max("far").alias("far"), F.sum("held").alias("held")).collect():
-        radius[r.cell], blocks[r.cell] = r.far, max(1, -(-r.held // BLOCK))
+    held = np.zeros(len(pivots), np.int64)
+    for r in rows.select("embedding").mapInArrow(measure, "cell long, held long").groupBy("cell").agg(F.sum("held").alias("held")).collect():
+        held[r.cell] = r.held
+    most = int(max(BLOCK, min(LARGEST // dim, -(-held.sum() // MOST_BLOCKS))))
+    # a large cell is cut into blocks, small ones share one
+    parts, first, block, room = np.maximum(1, -(-held // most)), np.zeros(len(pivots), np.int64), -1, 0
+    for c in range(len(pivots)):
+        if parts[c] > 1:
+            first[c], block, room = block + 1, block + parts[c], 0
+        else:
+            if held[c] > room or block < 0:
+                block, room = block + 1, most
+            first[c], room = block, room - held[c]
+    count = max(1, int(block) + 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v, at = _unit_rows(batch["embedding"], dim)
-            if not len(v):
-                continue
-            batch = batch.take(pa.array(at))
-            c = v @ pivots.T
-            own = c.argmax(1)
-            # each pair of cells meets once, in the higher one
-            asks = (np.arccos(np.clip(c, -1, 1)) - radius[None, :] <= angle) & (np.arange(len(pivots))[None, :] >= own[:, None])
-            asks[np.arange(len(v)), own] = True
-            mix = (pd.util.hash_array(batch["ord"].to_numpy(zero_copy_only=False)) >> np.uint64(2)).astype(np.int64)
-            mine = mix % blocks[own]
-            rows_, cells = np.nonzero(asks)
-            parts = []
-            for k in range(int(blocks.max())):
-                pick = np.flatnonzero(blocks[cells] > k)
-                i, cell = rows_[pick], cells[pick]
-                inside = cell == own[i]
-                # within a cell every two blocks meet once
-                low, high = np.where(inside, np.minimum(mine[i], k), k), np.where(inside, np.maximum(mine[i], k), -1)
-                parts.append((i, cell, low, high, inside, np.where(inside, mine[i], -1)))
-            i, cell, low, high, inside, block = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(i)), batch["book"].take(pa.array(i)), batch["ord"].take(pa.array(i)), batch["embedding"].take(pa.array(i)), *(pa.array(x.astype("int32")) for x in (cell, low, high, block))], ["id", "book", "ord", "embedding", "cell", "low", "high", "block"])
-            # a row of the cell is stored where rows of other cells ask
-            stored = (own, mine, np.full(len(v), -1), np.full(len(v), -2))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["book"], batch["ord"], batch["embedding"], *(pa.array(x.astype("int32")) for x in stored)], ["id", "book", "ord", "embedding", "cell", "low", "high", "block"])
-
-    def meet(group: pa.Table) -> pa.Table:
-        v, at = _unit_rows(group["embedding"], dim)
-        t = group.take(pa.array(at))
-        block, order = np.asarray(t["block"]), np.asarray(t["ord"])
-        books = np.asarray(t["book"].combine_chunks().dictionary_encode().indices)
-        low, high = np.asarray(group["low"])[0], np.asarray(group["high"])[0]
-        if high >= 0:
-            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        else:
-            left, right = np.flatnonzero(block == -1), np.flatnonzero(block == -2)
-        f = v.astype(np.float32)
-        a_all, b_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for s in range(0, len(left), 1024):
-            x, y = np.nonzero(f[left[s : s + 1024]] @ f[right].T >= least - 1e-5)
-            a, b = left[s + x], right[y]
-            keep = (books[a] != books[b]) & ((order[a] < order[b]) if low == high else (order[a] != order[b]))
-            a_all.append(a[keep])
-            b_all.append(b[keep])
-        a, b = np.concatenate(a_all), np.concatenate(b_all)
-        swap = order[a] > order[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        sim = (v[a] * v[b]).sum(1) if len(a) else np.empty(0)
-        keep = sim >= least
-        a, b, sim = pa.array(a[keep]), pa.array(b[keep]), sim[keep]
-        return pa.table({"a": t["id"].take(a), "b": t["id"].take(b), "a_ord": t["ord"].take(a), "b_ord": t["ord"].take(b), "similarity": pa.array(sim)})
+            if len(v):
+                batch, own = batch.take(pa.array(at)), (v @ pivots.T).argmax(1)
+                mix = (pd.util.hash_array(batch["ord"].to_numpy(zero_copy_only=False)) >> np.uint64(2)).astype(np.int64)
+                where = first[own] + mix % parts[own]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype("int32")), pa.array(where.astype("int32"))], [*batch.schema.names, "cell", "block"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := list(batches):
+            t = pa.Table.from_batches(got).sort_by([("cell", "ascending"), ("ord", "ascending")])
+            yield pa.RecordBatch.from_arrays([t["block"].combine_chunks()[:1], pa.array([_body(t.drop_columns(["block"]))], pa.binary())], ["block", "body"])
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    placed = rows.mapInArrow(place, f"{kind}, cell int, block int").repartitionById(count, "block")
+    return cut(placed.mapInArrow(pack, "block int, body binary")), pivots
+
+
+def candidate_pairs(nodes: DataFrame, dim: int, least: float = 0.70) -> DataFrame:
+    """a, b, a_ord, b_ord, similarity of rows of different books with a cosine of at least the bound, the earlier first.
+
+    ``nodes`` has id, book, ord (unique) and embedding, and is read a few times. The join
+    is exact. Rows lie in cells around pivots, and cells in blocks, each of which is
+    stored once; a task reads two blocks. Two cells meet only if the angle between the
+    pivots, less the cells' radii, is within the bound, so cells that can't hold a
+    partner are never compared. Vectors without structure have wide cells and are
+    compared all with all. Products in single precision choose, double decides.
+    """
+    ship(nodes.sparkSession)
+    rows = nodes.select("id", "book", "ord", "embedding").where("embedding is not null and book is not null")
+    packed, pivots = _blocks(rows, dim)
+    angle = float(np.arccos(min(1.0, max(-1.0, least)))) + 1e-6
+    # what single precision may be off
+    bar = np.float32(least - 1e-5 - 1.2e-7 * dim)
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+
+    def opened(body: bytes) -> tuple:
+        """Rows, unit vectors in both precisions, and of each cell its number, radius and range of rows."""
+        t = pa.ipc.open_stream(body).read_all().combine_chunks()
+        v, _ = _unit_rows(t["embedding"], dim)
+        t = t.drop_columns(["embedding"])
+        cell = np.asarray(t["cell"])
+        starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        near = np.minimum.reduceat((v * pivots[cell]).sum(1), starts)
+        cells = list(zip(cell[starts].tolist(), np.arccos(np.clip(near, -1, 1)).tolist(), starts.tolist(), [*starts[1:].tolist(), len(v)], strict=True))
+        return t, np.asarray(t["ord"]), v, v.astype(np.float32), cells
+
+    def hits(f: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the one and the other whose product reaches the bar, tile by tile."""
+        x, y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for r in range(0, len(g), TILE[1]):
+            other = g[r : r + TILE[1]].T
+            for s in range(0, len(f), TILE[0]):
+                over = f[s : s + TILE[0]] @ other >= bar
+                flat = over.reshape(-1)
+                # eight results at once, few of them have any
+                whole = len(flat) // 8 * 8
+                some = (np.flatnonzero(flat[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).reshape(-1)
+                at = np.concatenate([some[flat[some]], whole + np.flatnonzero(flat[whole:])])
+                if len(at):
+                    x.append(s + at // over.shape[1])
+                    y.append(r + at % over.shape[1])
+        return np.concatenate(x), np.concatenate(y)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, left, right in zip(*(batch[c] for c in ("l", "r", "left", "right")), strict=True):
+                same = low.as_py() == high.as_py()
+                one = opened(left.as_buffer())
+                two = one if same else opened(right.as_buffer())
+                (t, t_ord, v, f, own), (u, u_ord, w, g, others) = one, two
+                books = pa.chunked_array([*t["book"].chunks, *u["book"].chunks]).combine_chunks().dictionary_encode().indices
+                t_book, u_book = np.asarray(books)[: len(v)], np.asarray(books)[len(v) :]
+                for i, i_far, i_from, i_to in own:
+                    for j, j_far, j_from, j_to in others:
+                        if (same and j < i) or apart[i, j] - i_far - j_far > angle:
+                            continue
+                        for s in range(i_from, i_to, STRIPE):
+                            e = min(i_to, s + STRIPE)
+                            # within a cell of one block later rows only
+                            start = s if same and i == j else j_from
+                            a, b = hits(f[s:e], g[start:j_to])
+                            a, b = a + s, b + start
+                            keep = (t_book[a] != u_book[b]) & ((t_ord[a] < u_ord[b]) if same and i == j else (t_ord[a] != u_ord[b]))
+                            a, b = a[keep], b[keep]
+                            for k in range(0, len(a), STRIPE * 16):
+                                x, y = a[k : k + STRIPE * 16], b[k : k + STRIPE * 16]
+                                sim = (v[x] * w[y]).sum(1)
+                                x, y, sim = x[sim >= least], y[sim >= least], sim[sim >= least]
+                                if len(x):
+                                    yield pairs(t.take(pa.array(x)), u.take(pa.array(y)), t_ord[x] < u_ord[y], sim)
+
+    def pairs(x: pa.Table, y: pa.Table, first: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+        both = lambda c, p, q: pc.if_else(first, p[c], q[c]).combine_chunks()
+        first = pa.array(first)
+        return pa.RecordBatch.from_arrays([both("id", x, y), both("id", y, x), both("ord", x, y), both("ord", y, x), pa.array(sim)], ["a", "b", "a_ord", "b_ord", "similarity"])
 
+    # each two blocks meet once, as many in the one order as in the other
+    turn = (F.col("l") == F.col("r")) | ((F.col("l") < F.col("r")) == ((F.col("l") + F.col("r")) % 2 == 0))
+    left, right = packed.select(F.col("block").alias("l"), F.col("body").alias("left")), packed.select(F.col("block").alias("r"), F.col("body").alias("right"))
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    placed = rows.mapInArrow(place, f"id {kind['id']}, book {kind['book']}, ord {kind['ord']}, embedding {kind['embedding']}, cell int, low int, high int, block int")
-    return placed.groupBy("cell", "low", "high").applyInArrow(meet, f"a string, b string, a_ord {kind['ord']}, b_ord {kind['ord']}, similarity double")
+    met = left.hint("shuffle_replicate_nl").join(right, turn)
+    return met.mapInArrow(meet, f"a {kind['id']}, b {kind['id']}, a_ord {kind['ord']}, b_ord {kind['ord']}, similarity double")
 
 
 def _best_rows(q: np.ndarray, ids: np.ndarray, dim: int, k: int) -> Callable:

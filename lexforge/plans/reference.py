@@ -58,7 +58,7 @@ def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def node_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of nodes of different books from a cosine of 0.70."""
-    n = nodes_once(spark, d).select("id", F.col("textbook_id").alias("book"), "ord", "embedding")
+    n = keep(nodes_once(spark, d).select("id", F.col("textbook_id").alias("book"), "ord", "embedding"))
     return similarity.candidate_pairs(n, DIM, NODES_FROM).select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from conftest import by_hand
 
 from lexforge.operators import similarity as s
@@ -57,3 +58,18 @@ def test_any_number_of_questions(spark, monkeypatch):
     monkeypatch.setattr(s, "CHUNKS", 70)
     assert by_hand(s.top_per_question(q, chunks, 6, 4).select("qid", "ord")) == want and len(want) == 360
     assert s.top_per_question(q, chunks.limit(0), 6, 4).count() == 0
+
+
+def test_every_row_is_stored_once_for_the_pair_join(spark, monkeypatch):
+    """Rows used to be copied to every cell that could hold a partner: with vectors without structure, to all."""
+    monkeypatch.setattr(s, "BLOCK", 100)
+    monkeypatch.setattr(s, "PER_PIVOT", 20)
+    rng = np.random.default_rng(9)
+    rows = [(f"n{i}", f"b{i % 4}", i, [float(x) for x in rng.standard_normal(16)]) for i in range(400)]
+    seen = []
+    cut = s.cut
+    monkeypatch.setattr(s, "cut", lambda frame: seen.append(cut(frame)) or seen[-1])
+    s.candidate_pairs(spark.createDataFrame(rows, "id string, book string, ord long, embedding array<float>"), 16, 0.3)
+    (blocks,) = seen
+    held = [pa.ipc.open_stream(r.body).read_all()["ord"].to_pylist() for r in blocks.collect()]
+    assert sorted(x for part in held for x in part) == list(range(400)) and max(map(len, held)) < 200
