@@ -18,7 +18,7 @@ from lexforge.session import cut, ship
 #: Rows of one block of the pair join, questions that go to every task, and questions that are scored at once.
 BLOCK, QUESTIONS, TOGETHER = 8192, 4096, 256
 #: Blocks of the pair join from which they rather grow, up to so many numbers; rows of a tile that fits the cache, and rows after which pairs are handed on.
-MOST_BLOCKS, LARGEST, TILE, STRIPE = 32, 1 << 22, (512, 256), 4096
+MOST_BLOCKS, LARGEST, TILE, STRIPE = 16, 1 << 22, (512, 256), 4096
 #: Rows for each pivot of the pair join, most pivots, and sampled rows for each of them.
 PER_PIVOT, MOST_PIVOTS, PIVOT_SAMPLE = 2048, 1024, 16
 #: Rows of a block of chunks that meets a block of questions.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexforge.functions.text import book_id, book_title, chapter_number, is_footer, page_mark, strip, visible_length, without_page_marks
 from lexforge.operators import chunks, dashboard, integrate, records, retrieve, segment, similarity
 from lexforge.plans import pipelines
-from lexforge.session import cut, keep, table
+from lexforge.session import keep, table
 
 DIM = 64
 #: Bounds of the pair join: the embeddings table has no pair at 0.70, nodes have.
@@ -146,9 +146,11 @@ def char_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    nodes = cut(nodes_once(spark, d))
-    pairs = similarity.candidate_pairs(nodes.select("id", F.col("textbook_id").alias("book"), "ord", "embedding"), DIM, NODES_FROM)
-    return nodes, cut(integrate.decisions(integrate.rule_judgements(pairs, nodes, SAME_FROM)))
+    """Nodes without their vectors, and the decisions about pairs."""
+    nodes = keep(nodes_once(spark, d))
+    pairs = keep(similarity.candidate_pairs(nodes.select("id", F.col("textbook_id").alias("book"), "ord", "embedding"), DIM, NODES_FROM))
+    nodes = nodes.drop("embedding")
+    return nodes, keep(integrate.decisions(integrate.rule_judgements(pairs, nodes, SAME_FROM)))
 
 
 def judge_decisions(spark: SparkSession, d: str) -> DataFrame:

@@ -116,3 +116,22 @@ def test_answers_of_a_judge(spark):
     nodes_ = spark.createDataFrame([("a0", "N", None, "t")], "id string, name string, definition string, textbook_id string")
     asked = g.judge_prompts(pairs.where("a = 'a0'").drop("a_name", "b_name", "raw").withColumn("b", F.lit("a0")), nodes_).first()
     assert asked.prompt == '{"node_a":{"name":"N","definition":null,"textbook":"t"},"node_b":{"name":"N","definition":null,"textbook":"t"},"similarity":0.9}'
+
+
+def without_vectors(spark, small, monkeypatch, name):
+    """The query's rows; no frame that it checkpoints row by row may have the vectors, which only the pair join needs."""
+    from lexforge.operators import prefix
+    from lexforge.plans import reference
+    from lexforge.session import cut
+
+    def watched(frame):
+        assert "embedding" not in frame.columns
+        return cut(frame)
+
+    for module in (g, prefix, reference):
+        monkeypatch.setattr(module, "cut", watched, raising=False)
+    return reference.QUERIES[name](spark, small)
+
+
+def test_budget_trim_writes_no_vectors(spark, small, monkeypatch):
+    assert without_vectors(spark, small, monkeypatch, "budget_trim").columns == ["id", "n_chars"]
