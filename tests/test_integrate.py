@@ -1,5 +1,6 @@
 import itertools
 
+import pytest
 from conftest import by_hand
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -135,3 +136,8 @@ def without_vectors(spark, small, monkeypatch, name):
 
 def test_budget_trim_writes_no_vectors(spark, small, monkeypatch):
     assert without_vectors(spark, small, monkeypatch, "budget_trim").columns == ["id", "n_chars"]
+
+
+@pytest.mark.parametrize("name", ["integration_report"])
+def test_no_vectors_are_written_after_the_pairs(spark, small, monkeypatch, name):
+    assert "embedding" not in without_vectors(spark, small, monkeypatch, name).columns
