@@ -138,6 +138,6 @@ def test_budget_trim_writes_no_vectors(spark, small, monkeypatch):
     assert without_vectors(spark, small, monkeypatch, "budget_trim").columns == ["id", "n_chars"]
 
 
-@pytest.mark.parametrize("name", ["integration_report", "integration_stats_observed", "judge_decisions", "kept_nodes_observed", "merged_edges", "integration_decisions", "integration_stats"])
+@pytest.mark.parametrize("name", ["integration_report", "integration_stats_observed", "judge_decisions", "kept_nodes_observed", "merged_edges", "integration_decisions", "integration_stats", "kept_nodes_intent"])
 def test_no_vectors_are_written_after_the_pairs(spark, small, monkeypatch, name):
     assert "embedding" not in without_vectors(spark, small, monkeypatch, name).columns
