@@ -18,7 +18,9 @@ from lexforge.session import cut, ship
 #: Rows of one block of the pair join, questions that go to every task, and questions that are scored at once.
 BLOCK, QUESTIONS, TOGETHER = 8192, 4096, 256
 #: Blocks of the pair join from which they rather grow, up to so many numbers; rows of a tile that fits the cache, and rows after which pairs are handed on.
-MOST_BLOCKS, LARGEST, TILE, STRIPE = 16, 1 << 22, (512, 256), 4096
+MOST_BLOCKS, LARGEST, TILE, STRIPE = 16, 1 << 21, (512, 256), 4096
+#: Sampled rows that decide how many components are multiplied, and of how many multiplied components one more pair costs as much.
+HEAD_SAMPLE, PAIR_COST = 1024, 6000
 #: Rows for each pivot of the pair join, most pivots, and sampled rows for each of them.
 PER_PIVOT, MOST_PIVOTS, PIVOT_SAMPLE = 2048, 1024, 16
 #: Rows of a block of chunks that meets a block of questions.
@@ -36,21 +38,44 @@ def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return m[good] / size[good, None], rows[good]
 
 
-def _pivots(rows: DataFrame, dim: int, total: int, count: int, seed: int = 7) -> np.ndarray:
-    """Unit vectors around which the rows are put in cells; they decide how much is compared, never a result."""
+def _pivots(rows: DataFrame, dim: int, total: int, count: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors around which the rows are put in cells, and the sampled rows; they decide how much is compared, never a result."""
     total = max(1, total)
-    wanted = count * PIVOT_SAMPLE
+    wanted = max(count * PIVOT_SAMPLE, 4 * HEAD_SAMPLE)
     got = rows.select("embedding").sample(min(1.0, 1.3 * wanted / total), seed=seed).limit(2 * wanted).toArrow()
     x = _unit_rows(got["embedding"], dim)[0] if got.num_rows else np.empty((0, dim))
     if not len(x):
-        return np.eye(1, dim)
+        return np.eye(1, dim), x
     centres = x[np.random.default_rng(seed).choice(len(x), min(count, len(x)), replace=False)]
     for _ in range(3):
         near, sums = (x @ centres.T).argmax(1), np.zeros_like(centres)
         np.add.at(sums, near, x)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
-    return centres
+    return centres, x
+
+
+def _basis(x: np.ndarray, dim: int, least: float) -> tuple[np.ndarray, int]:
+    """Directions in order of what the sampled rows have in them, and how many of them are multiplied for every pair.
+
+    Of the others only the length is: what two rows have there adds at most the product
+    of the lengths, so no pair is missed. The fewer directions, the more pairs pass that don't hold.
+    """
+    x = np.random.default_rng(7).permutation(x)
+    # what is judged isn't what the directions are learnt from
+    judged = min(HEAD_SAMPLE, len(x) // 2)
+    if judged < 2:
+        return np.eye(dim), dim
+    basis = np.linalg.eigh(x[judged:].T @ x[judged:])[1][:, ::-1]
+    z = x[:judged] @ basis
+    others = ~np.eye(len(z), dtype=bool)
+
+    def cost(head: int) -> float:
+        rest = np.linalg.norm(z[:, head:], axis=1)
+        over = z[:, :head] @ z[:, :head].T + np.outer(rest, rest) >= least
+        return head + (head < dim) + PAIR_COST * float(over[others].mean())
+
+    return basis, min([dim, *range(max(1, dim // 4), dim, max(1, dim // 16))], key=cost)
 
 
 def _body(rows: pa.Table) -> bytes:
@@ -60,10 +85,10 @@ def _body(rows: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _blocks(rows: DataFrame, dim: int) -> tuple[DataFrame, np.ndarray]:
-    """block and body, one row and one partition for each block of rows, sorted by cell and ord; and the pivots of the cells."""
+def _blocks(rows: DataFrame, dim: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """block and body, one row and one partition for each block of rows, sorted by cell and ord; the pivots of the cells; sampled rows."""
     total = rows.count()
-    pivots = _pivots(rows, dim, total, int(min(MOST_PIVOTS, max(1, -(-total // PER_PIVOT)))))
+    pivots, sampled = _pivots(rows, dim, total, int(min(MOST_PIVOTS, max(1, -(-total // PER_PIVOT)))))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(len(pivots), np.int64)
@@ -103,7 +128,7 @@ def _blocks(rows: DataFrame, dim: int) -> tuple[DataFrame, np.ndarray]:
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     placed = rows.mapInArrow(place, f"{kind}, cell int, block int").repartitionById(count, "block")
-    return cut(placed.mapInArrow(pack, "block int, body binary")), pivots
+    return cut(placed.mapInArrow(pack, "block int, body binary")), pivots, sampled
 
 
 def candidate_pairs(nodes: DataFrame, dim: int, least: float = 0.70) -> DataFrame:
@@ -114,68 +139,89 @@ def candidate_pairs(nodes: DataFrame, dim: int, least: float = 0.70) -> DataFram
     stored once; a task reads two blocks. Two cells meet only if the angle between the
     pivots, less the cells' radii, is within the bound, so cells that can't hold a
     partner are never compared. Vectors without structure have wide cells and are
-    compared all with all. Products in single precision choose, double decides.
+    compared all with all. Products of the first components in single precision, with
+    a bound on the rest, choose; double decides. A task holds its rows once as they came
+    and once in single precision.
     """
     ship(nodes.sparkSession)
     rows = nodes.select("id", "book", "ord", "embedding").where("embedding is not null and book is not null")
-    packed, pivots = _blocks(rows, dim)
+    packed, pivots, sampled = _blocks(rows, dim)
+    basis, head = _basis(sampled, dim, least)
     angle = float(np.arccos(min(1.0, max(-1.0, least)))) + 1e-6
     # what single precision may be off
     bar = np.float32(least - 1e-5 - 1.2e-7 * dim)
     apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
 
-    def opened(body: bytes) -> tuple:
-        """Rows, unit vectors in both precisions, and of each cell its number, radius and range of rows."""
+    def opened(body: pa.Buffer) -> tuple:
+        """Rows, their ord, vectors as they came, lengths, what is multiplied, and of each cell its number, radius and range of rows."""
         t = pa.ipc.open_stream(body).read_all().combine_chunks()
-        v, _ = _unit_rows(t["embedding"], dim)
+        raw = t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         t = t.drop_columns(["embedding"])
-        cell = np.asarray(t["cell"])
+        cell, size, near, f = np.asarray(t["cell"]), np.empty(len(raw)), np.empty(len(raw)), np.empty((len(raw), head + (head < dim)), np.float32)
+        for s in range(0, len(raw), STRIPE):
+            e = s + STRIPE
+            v = raw[s:e].astype(np.float64)
+            size[s:e] = np.sqrt((v * v).sum(1))
+            v /= size[s:e, None]
+            near[s:e] = (v * pivots[cell[s:e]]).sum(1)
+            z = v @ basis
+            f[s:e, :head] = z[:, :head]
+            f[s:e, head:] = np.linalg.norm(z[:, head:], axis=1, keepdims=True)
         starts = np.flatnonzero(np.diff(cell, prepend=-1))
-        near = np.minimum.reduceat((v * pivots[cell]).sum(1), starts)
-        cells = list(zip(cell[starts].tolist(), np.arccos(np.clip(near, -1, 1)).tolist(), starts.tolist(), [*starts[1:].tolist(), len(v)], strict=True))
-        return t, np.asarray(t["ord"]), v, v.astype(np.float32), cells
+        cells = list(zip(cell[starts].tolist(), np.arccos(np.clip(np.minimum.reduceat(near, starts), -1, 1)).tolist(), starts.tolist(), [*starts[1:].tolist(), len(raw)], strict=True))
+        return t, np.asarray(t["ord"]), raw, size, f, cells
 
-    def hits(f: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the one and the other whose product reaches the bar, tile by tile."""
+    def hits(f: np.ndarray, g: np.ndarray, room: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the one and the other whose product reaches the bar, tile by tile; ``room`` holds a tile and what is over."""
         x, y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for r in range(0, len(g), TILE[1]):
             other = g[r : r + TILE[1]].T
             for s in range(0, len(f), TILE[0]):
-                over = f[s : s + TILE[0]] @ other >= bar
-                flat = over.reshape(-1)
-                # eight results at once, few of them have any
-                whole = len(flat) // 8 * 8
-                some = (np.flatnonzero(flat[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).reshape(-1)
-                at = np.concatenate([some[flat[some]], whole + np.flatnonzero(flat[whole:])])
-                if len(at):
-                    x.append(s + at // over.shape[1])
-                    y.append(r + at % over.shape[1])
+                part = f[s : s + TILE[0]]
+                n = len(part) * other.shape[1]
+                product, over = room[0][:n], room[1][: -(-n // 64) * 64]
+                np.matmul(part, other, out=product.reshape(len(part), -1))
+                np.greater_equal(product, bar, out=over[:n])
+                over[n:] = False
+                # 64 results at once, few of them have any
+                some = np.flatnonzero(np.packbits(over).view(np.uint64))
+                if len(some):
+                    at = (some[:, None] * 64 + np.arange(64)).reshape(-1)
+                    at = at[over[at]]
+                    x.append(s + at // other.shape[1])
+                    y.append(r + at % other.shape[1])
         return np.concatenate(x), np.concatenate(y)
 
+    def ranges(first: np.ndarray, wanted: np.ndarray) -> list[tuple[int, int]]:
+        """Begin and end of the runs that are wanted; ``first`` marks where a run begins."""
+        at = np.flatnonzero(first).tolist()
+        return [(x, y) for x, y in zip(at, [*at[1:], len(first)], strict=True) if wanted[x]]
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = np.empty(TILE[0] * TILE[1], np.float32), np.empty(-(-TILE[0] * TILE[1] // 64) * 64, bool)
         for batch in batches:
             for low, high, left, right in zip(*(batch[c] for c in ("l", "r", "left", "right")), strict=True):
                 same = low.as_py() == high.as_py()
                 one = opened(left.as_buffer())
                 two = one if same else opened(right.as_buffer())
-                (t, t_ord, v, f, own), (u, u_ord, w, g, others) = one, two
+                (t, t_ord, v, v_size, f, own), (u, u_ord, w, w_size, g, others) = one, two
                 books = pa.chunked_array([*t["book"].chunks, *u["book"].chunks]).combine_chunks().dictionary_encode().indices
                 t_book, u_book = np.asarray(books)[: len(v)], np.asarray(books)[len(v) :]
-                for i, i_far, i_from, i_to in own:
-                    for j, j_far, j_from, j_to in others:
-                        if (same and j < i) or apart[i, j] - i_far - j_far > angle:
-                            continue
-                        for s in range(i_from, i_to, STRIPE):
-                            e = min(i_to, s + STRIPE)
-                            # within a cell of one block later rows only
-                            start = s if same and i == j else j_from
-                            a, b = hits(f[s:e], g[start:j_to])
+                close = apart[np.ix_([c[0] for c in own], [c[0] for c in others])] - np.array([c[1] for c in own])[:, None] - np.array([c[1] for c in others]) <= angle
+                # cells side by side that meet the same ones are compared at once
+                for i, i_end in ranges(np.r_[True, (close[1:] != close[:-1]).any(1)], np.ones(len(own), bool)):
+                    for j, j_end in ranges(np.r_[True, close[i, 1:] != close[i, :-1]], close[i]):
+                        for s in range(own[i][2], own[i_end - 1][3], STRIPE):
+                            e = min(own[i_end - 1][3], s + STRIPE)
+                            # within one block later rows only
+                            start = max(s, others[j][2]) if same else others[j][2]
+                            a, b = hits(f[s:e], g[start : others[j_end - 1][3]], room)
                             a, b = a + s, b + start
-                            keep = (t_book[a] != u_book[b]) & ((t_ord[a] < u_ord[b]) if same and i == j else (t_ord[a] != u_ord[b]))
+                            keep = (t_book[a] != u_book[b]) & (t_ord[a] != u_ord[b]) & ((a < b) | (not same))
                             a, b = a[keep], b[keep]
                             for k in range(0, len(a), STRIPE * 16):
                                 x, y = a[k : k + STRIPE * 16], b[k : k + STRIPE * 16]
-                                sim = (v[x] * w[y]).sum(1)
+                                sim = (v[x].astype(np.float64) / v_size[x, None] * (w[y].astype(np.float64) / w_size[y, None])).sum(1)
                                 x, y, sim = x[sim >= least], y[sim >= least], sim[sim >= least]
                                 if len(x):
                                     yield pairs(t.take(pa.array(x)), u.take(pa.array(y)), t_ord[x] < u_ord[y], sim)

@@ -1,5 +1,7 @@
 import itertools
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from conftest import by_hand
 from hypothesis import HealthCheck, given, settings
@@ -141,3 +143,38 @@ def test_budget_trim_writes_no_vectors(spark, small, monkeypatch):
 @pytest.mark.parametrize("name", ["integration_report", "integration_stats_observed", "judge_decisions", "kept_nodes_observed", "merged_edges", "integration_decisions", "integration_stats", "kept_nodes_intent"])
 def test_no_vectors_are_written_after_the_pairs(spark, small, monkeypatch, name):
     assert "embedding" not in without_vectors(spark, small, monkeypatch, name).columns
+
+
+class Measured(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["integration_report"])
+def test_a_task_of_the_pair_join_needs_little_memory(spark, monkeypatch, name):
+    """Two blocks in double precision with all that led to them didn't fit an executor at 1 GB."""
+    from lexforge.operators import similarity
+    from lexforge.plans import reference
+
+    monkeypatch.setattr(similarity, "STRIPE", 128)
+    monkeypatch.setattr(similarity, "TILE", (64, 64))
+    blocks, cut, frames = [], similarity.cut, type(spark.range(1))
+    monkeypatch.setattr(similarity, "cut", lambda frame: blocks.append(cut(frame)) or blocks[-1])
+    then = frames.mapInArrow
+
+    def watched(frame, task, kind, *more):
+        if not kind.startswith("a "):
+            return then(frame, task, kind, *more)
+        body = blocks[-1].first().body
+        held = sum(x.nbytes for x in pa.ipc.open_stream(body).read_all()["embedding"].chunks)
+        batch = pa.RecordBatch.from_pydict({"l": [0], "r": [1], "left": [body], "right": [bytes(body)]})
+        tracemalloc.start()
+        try:
+            list(task(iter([batch])))
+            raise Measured(tracemalloc.get_traced_memory()[1] / (2 * held))
+        finally:
+            tracemalloc.stop()
+
+    monkeypatch.setattr(frames, "mapInArrow", watched)
+    with pytest.raises(Measured) as found:
+        reference.QUERIES[name](spark, "/root/testdata/sf0.01")
+    assert found.value.args[0] < 2

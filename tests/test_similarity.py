@@ -73,3 +73,17 @@ def test_every_row_is_stored_once_for_the_pair_join(spark, monkeypatch):
     (blocks,) = seen
     held = [pa.ipc.open_stream(r.body).read_all()["ord"].to_pylist() for r in blocks.collect()]
     assert sorted(x for part in held for x in part) == list(range(400)) and max(map(len, held)) < 200
+
+
+def test_pairs_are_found_from_few_components(spark):
+    """Every component of every pair used to be multiplied; most pairs are told apart by some of them and a bound on the rest."""
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((700, 12)) @ rng.standard_normal((12, 32)) + 0.4 * rng.standard_normal((700, 32))
+    v[601:] = v[:99] + 0.3 * rng.standard_normal((99, 32))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert s._basis(u, 32, 0.8)[1] < 32
+    assert s._basis(u[:0], 32, 0.8)[1] == s._basis(u[:1], 32, 0.8)[1] == 32
+    rows = [(f"n{i}", f"b{i % 3}", i, [float(x) for x in v[i]]) for i in range(700)]
+    want = sorted((f"n{i}", f"n{j}") for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.8, 1)), strict=True) if i % 3 != j % 3)
+    got = s.candidate_pairs(spark.createDataFrame(rows, "id string, book string, ord long, embedding array<double>"), 32, 0.8)
+    assert by_hand(got.select("a", "b")) == want and len(want) > 50
