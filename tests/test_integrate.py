@@ -149,7 +149,7 @@ class Measured(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["integration_report", "merged_edges", "integration_stats_observed", "judge_decisions", "kept_nodes_observed", "integration_decisions", "integration_stats"])
+@pytest.mark.parametrize("name", ["integration_report", "merged_edges", "integration_stats_observed", "judge_decisions", "kept_nodes_observed", "integration_decisions", "integration_stats", "kept_nodes_intent"])
 def test_a_task_of_the_pair_join_needs_little_memory(spark, monkeypatch, name):
     """Two blocks in double precision with all that led to them didn't fit an executor at 1 GB."""
     from lexforge.operators import similarity
