@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexforge.functions.text import compressed, domain_key
 from lexforge.operators.prefix import running
 from lexforge.schemas import ACTIONS, IMPORTANCE
-from lexforge.session import cut
+from lexforge.session import keep
 
 #: Share of the definitions' characters that may stay.
 TARGET = 0.30
@@ -102,7 +102,7 @@ def budget(kept: DataFrame, original_chars: int, first_no: int = 0, target: floa
     are numbered on from ``first_no``, the number of those before.
     """
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, IMPORTANCE[:2])), F.col("importance_level")), F.lit(0))
-    ranked = cut(kept.withColumn("_rank", rank).withColumn("_n", F.coalesce(F.length("definition"), F.lit(0))))
+    ranked = keep(kept.withColumn("_rank", rank).withColumn("_n", F.coalesce(F.length("definition"), F.lit(0))))
     base, spark = max(original_chars, 1), kept.sparkSession
 
     def removed(victims: DataFrame, order: list[Column], start: int, prefix: str, reason: str, confidence: float) -> DataFrame:
@@ -117,7 +117,7 @@ def budget(kept: DataFrame, original_chars: int, first_no: int = 0, target: floa
         important = left.where("_rank = 2")
         few = [r.id for r in important.select("id").orderBy("id").limit(5).collect()]
         shorter = F.when(F.col("_rank") == 2, compressed(F.col("definition"))).otherwise(F.col("definition"))
-        left = cut(left.withColumn("definition", shorter).withColumn("_n", F.coalesce(F.length("definition"), F.lit(0))))
+        left = keep(left.withColumn("definition", shorter).withColumn("_n", F.coalesce(F.length("definition"), F.lit(0))))
         chars = left.agg(F.sum("_n")).first()[0] or 0
         said = [(number + 1, f"{COMPRESSED}important_{number:04d}", "merge", few, ["重要级知识点批量压缩"], None, f"第二步：压缩 {important.count()} 个重要级知识点的定义至 100 字以内", 0.95)]
         told = told.unionByName(spark.createDataFrame(said, "decision_no long, decision_id string, action string, affected_nodes array<string>, affected_names array<string>, result_node string, reason string, confidence double"))

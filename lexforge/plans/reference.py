@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexforge.functions.text import book_id, book_title, chapter_number, is_footer, page_mark, strip, visible_length, without_page_marks
 from lexforge.operators import chunks, dashboard, integrate, records, retrieve, segment, similarity
 from lexforge.plans import pipelines
-from lexforge.session import keep, table
+from lexforge.session import keep, once, table, tidy
 
 DIM = 64
 #: Bounds of the pair join: the embeddings table has no pair at 0.70, nodes have.
@@ -146,11 +146,14 @@ def char_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes without their vectors, and the decisions about pairs."""
-    nodes = keep(nodes_once(spark, d))
+    """Nodes without their vectors, and the decisions about pairs; the nodes are not written, and of the pair join only the pairs stay."""
+    nodes = once(table(spark, d, "nodes").drop("loaded_at"), "ord")
     pairs = keep(similarity.candidate_pairs(nodes.select("id", F.col("textbook_id").alias("book"), "ord", "embedding"), DIM, NODES_FROM))
+    tidy(spark)
     nodes = nodes.drop("embedding")
-    return nodes, keep(integrate.decisions(integrate.rule_judgements(pairs, nodes, SAME_FROM)))
+    decided = keep(integrate.decisions(integrate.rule_judgements(pairs, nodes, SAME_FROM)))
+    tidy(spark)
+    return nodes, decided
 
 
 def judge_decisions(spark: SparkSession, d: str) -> DataFrame:

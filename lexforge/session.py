@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import pathlib
 import shutil
@@ -11,6 +12,10 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that come more than once, up to which they are sent to every task.
+REPEATED = 1 << 21
 
 
 def build_session(cpus: int | str = "*", app: str = "lexforge", **conf: str) -> SparkSession:
@@ -133,3 +138,24 @@ def keep(frame: DataFrame) -> DataFrame:
     path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def once(frame: DataFrame, key: str) -> DataFrame:
+    """distinct() of rows of which few come again, and those with the same key.
+
+    Only rows whose key does come again are moved and written; the others are read where
+    they lie, each time. With too many such keys all rows are moved, to the same result.
+    """
+    # a hash is never null; rows that only share it are told apart by distinct()
+    keyed = frame.withColumn("_key", F.xxhash64(key))
+    again = keep(keyed.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"))
+    if again.count() > REPEATED:
+        return frame.distinct()
+    several = keep(keyed.join(F.broadcast(again), "_key", "left_semi").drop("_key").distinct())
+    return keyed.join(F.broadcast(again), "_key", "left_anti").drop("_key").unionByName(several)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Have shuffle files and checkpoints of frames that are no longer used removed now, not when the driver's memory is short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

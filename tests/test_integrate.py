@@ -178,3 +178,31 @@ def test_a_task_of_the_pair_join_needs_little_memory(spark, monkeypatch, name):
     with pytest.raises(Measured) as found:
         reference.QUERIES[name](spark, "/root/testdata/sf0.01")
     assert found.value.args[0] < 2
+
+
+@pytest.mark.parametrize("name", ["integration_stats_observed"])
+def test_nodes_are_not_written_with_their_vectors(spark, small, monkeypatch, name):
+    """All nodes used to be moved and written with their vectors before the pair join, which writes the vectors too."""
+    from lexforge.plans import reference
+    from lexforge.session import keep
+
+    def watched(frame):
+        assert "embedding" not in frame.columns
+        return keep(frame)
+
+    monkeypatch.setattr(reference, "keep", watched)
+    assert "embedding" not in reference.QUERIES[name](spark, small).columns
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_rows_once_without_moving_all(spark, monkeypatch, most):
+    """Copies of a row, of a row without key and of one without vector, a key of two different rows, and vectors that only look different."""
+    from lexforge import session
+
+    monkeypatch.setattr(session, "REPEATED", most)
+    nan = float("nan")
+    rows = [(1, "a", [1.0, 2.0]), (1, "a", [1.0, 2.0]), (2, "b", [0.0]), (2, "b", [-0.0]), (3, "c", [nan]), (3, "c", [nan]), (4, "d", [1.0]), (4, "d", [1.5]), (4, "e", [1.0]), (None, "f", None), (None, "f", None), (None, "g", None), (5, None, None), (6, "h", [None]), (6, "h", [None])]
+    frame = spark.createDataFrame(rows, "ord long, id string, embedding array<float>")
+    show = lambda f: sorted(map(str, f.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0))).collect()))
+    got = show(session.once(frame, "ord"))
+    assert got == show(frame.distinct()) and len(got) == 10
