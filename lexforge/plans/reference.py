@@ -207,7 +207,7 @@ def integration_stats_observed(spark: SparkSession, d: str) -> DataFrame:
 def merged_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges of the merged graph."""
     _, decided, final = _final(spark, d)
-    return integrate.merged_edges(edges_once(spark, d), decided, final)
+    return integrate.merged_edges(once(table(spark, d, "edges").drop("loaded_at"), "ord"), decided, final)
 
 
 def domain_coverage(spark: SparkSession, d: str) -> DataFrame:
