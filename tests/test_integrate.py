@@ -180,7 +180,7 @@ def test_a_task_of_the_pair_join_needs_little_memory(spark, monkeypatch, name):
     assert found.value.args[0] < 2
 
 
-@pytest.mark.parametrize("name", ["integration_stats_observed", "judge_decisions", "kept_nodes_observed", "merged_edges", "integration_decisions", "integration_stats"])
+@pytest.mark.parametrize("name", ["integration_stats_observed", "judge_decisions", "kept_nodes_observed", "merged_edges", "integration_decisions", "integration_stats", "kept_nodes_intent"])
 def test_nodes_are_not_written_with_their_vectors(spark, small, monkeypatch, name):
     """All nodes used to be moved and written with their vectors before the pair join, which writes the vectors too."""
     from lexforge.plans import reference
