@@ -150,7 +150,8 @@ def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     nodes = once(table(spark, d, "nodes").drop("loaded_at"), "ord")
     pairs = keep(similarity.candidate_pairs(nodes.select("id", F.col("textbook_id").alias("book"), "ord", "embedding"), DIM, NODES_FROM))
     tidy(spark)
-    nodes = nodes.drop("embedding")
+    nodes, pairs = nodes.drop("embedding"), integrate.numbered_pairs(pairs)
+    tidy(spark)
     decided = keep(integrate.decisions(integrate.rule_judgements(pairs, nodes, SAME_FROM)))
     tidy(spark)
     return nodes, decided

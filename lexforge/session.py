@@ -8,6 +8,7 @@ import os
 import pathlib
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -156,6 +157,11 @@ def once(frame: DataFrame, key: str) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Have shuffle files and checkpoints of frames that are no longer used removed now, not when the driver's memory is short."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have shuffle files and checkpoints of frames that are no longer used removed now, not when the driver's memory is short.
+
+    What the first collection lets go of holds other frames, which the second one finds.
+    """
+    for wait in (0.2, 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)

@@ -194,6 +194,39 @@ def test_nodes_are_not_written_with_their_vectors(spark, small, monkeypatch, nam
     assert "embedding" not in reference.QUERIES[name](spark, small).columns
 
 
+@pytest.mark.parametrize("name", ["judge_decisions"])
+def test_pairs_are_numbered_before_they_get_names(spark, small, monkeypatch, name):
+    """Pairs with names, action and reason used to be moved, written row by row and moved again to be numbered; with many pairs that filled the disk."""
+    from lexforge.operators import prefix
+    from lexforge.plans import reference
+    from lexforge.session import cut, keep
+
+    numbered = []
+
+    def watched(write):
+        def run(frame):
+            assert "a_name" not in frame.columns
+            numbered.extend([frame.columns] if "_at" in frame.columns and "a_ord" in frame.columns else [])
+            return write(frame)
+
+        return run
+
+    monkeypatch.setattr(prefix, "cut", watched(cut))
+    monkeypatch.setattr(prefix, "keep", watched(keep), raising=False)
+    reference.QUERIES[name](spark, small)
+    assert numbered == [["a", "b", "a_ord", "b_ord", "similarity", "_at"]]
+
+
+def test_numbers_in_order(spark):
+    from lexforge.operators.prefix import numbered
+
+    rows = spark.createDataFrame([(i * 7919 % 5003, str(i)) for i in range(5000)], "i int, x string").repartition(9)
+    values = sorted(i * 7919 % 5003 for i in range(5000))
+    for order, want in ((F.col("i"), values), (F.desc("i"), values[::-1])):
+        assert [(r.n, r.i) for r in numbered(rows, [order], "n").orderBy("n").collect()] == list(enumerate(want))
+    assert numbered(rows.limit(0), [F.col("i")], "n").count() == 0
+
+
 @pytest.mark.parametrize("most", [0, 100])
 def test_rows_once_without_moving_all(spark, monkeypatch, most):
     """Copies of a row, of a row without key and of one without vector, a key of two different rows, and vectors that only look different."""
