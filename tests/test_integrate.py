@@ -194,7 +194,7 @@ def test_nodes_are_not_written_with_their_vectors(spark, small, monkeypatch, nam
     assert "embedding" not in reference.QUERIES[name](spark, small).columns
 
 
-@pytest.mark.parametrize("name", ["judge_decisions", "kept_nodes_observed", "integration_decisions", "integration_stats"])
+@pytest.mark.parametrize("name", ["judge_decisions", "kept_nodes_observed", "integration_decisions", "integration_stats", "kept_nodes_intent"])
 def test_pairs_are_numbered_before_they_get_names(spark, small, monkeypatch, name):
     """Pairs with names, action and reason used to be moved, written row by row and moved again to be numbered; with many pairs that filled the disk."""
     from lexforge.operators import prefix
